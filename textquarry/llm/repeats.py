@@ -7,7 +7,7 @@ all later steps find them there, and exchange with each other only packed finger
 1. Anchors. Of each window, the least hash of the 6-word grams in it; equal windows have equal
    anchors, and neighbours mostly share one, so a block has few. Buckets of anchors, ranges of
    hash values, tell each block which of its anchors another block has too.
-2. Passages. Windows with such an anchor (or one that the block has twice) may recur. Their
+2. Passages. Windows with such an anchor (or one that two documents of the block have) may recur. Their
    96-bit fingerprints, each once per block with the smallest doc_id there, go to buckets again,
    which confirm those that recur and answer with the smallest doc_id of all.
 3. Automata. A block compiles the passages confirmed for its own documents into Aho-Corasick automata
@@ -72,11 +72,14 @@ class _Block:
         self.anchors = mix(_least(grams(self.hash, gram), window - gram + 1)[self.at]) if len(self.at) else np.zeros(0, U64)
 
     def anchor_set(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending distinct anchors, and whether each stands more than once in the block."""
-        x = np.sort(self.anchors)
-        new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        return x[new], np.diff(begin, append=len(x)) > 1
+        """Ascending distinct anchors, and whether more than one document of the block has each."""
+        row = self.row[self.at]
+        run = np.flatnonzero(np.concatenate([[True], (self.anchors[1:] != self.anchors[:-1]) | (row[1:] != row[:-1])])) if len(row) else self.at
+        order = run[np.argsort(self.anchors[run], kind="stable")]
+        x, row = self.anchors[order], row[order]
+        begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else order
+        last = np.append(begin[1:], len(x))[: len(begin)] - 1
+        return x[begin], row[begin] != row[last]
 
     def candidates(self, answers: list[tuple[int, bytes | None, bytes]], buckets: int) -> None:
         """Sets the windows that may recur, and their distinct fingerprints in ascending order."""
