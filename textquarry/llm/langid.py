@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import slices
 
@@ -164,7 +165,7 @@ class _Profiles:
 
 def predict(documents: DataFrame, profiles: list[tuple[str, np.ndarray]], size: int = PROFILE, most: int = DOCUMENT) -> DataFrame:
     """All columns of documents, then lang_pred and score."""
-    model = _Profiles(profiles, size)
+    model, documents = _Profiles(profiles, size), documents.drop("lang_pred", "score")
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +178,8 @@ def predict(documents: DataFrame, profiles: list[tuple[str, np.ndarray]], size:
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "lang_pred", "score"])
 
-    schema = documents.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
-    return documents.drop("lang_pred", "score").mapInArrow(run, schema)
+    schema = T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return documents.mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

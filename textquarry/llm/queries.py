@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, repeats, simhash
+from . import decontaminate, langid, mixing, repeats, simhash, urls, warc
 from .tables import table
 
 
@@ -22,6 +22,14 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(urls.judge(table(spark, sf_dir, "pages")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
 
@@ -30,6 +38,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_decontaminate, op4_langid, op8_simhash, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_decontaminate, op4_langid, op5_urls, op7_warc, op8_simhash, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
