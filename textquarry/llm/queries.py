@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, repeats, simhash, urls, warc
+from . import decontaminate, embeddings, langid, mixing, repeats, simhash, urls, warc
 from .tables import table
 
 
@@ -26,6 +26,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(urls.judge(table(spark, sf_dir, "pages")))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_decontaminate, op4_langid, op5_urls, op7_warc, op8_simhash, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
