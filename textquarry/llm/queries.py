@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, langid, mixing, repeats, simhash, tokens, urls, warc
+from . import decontaminate, embeddings, langid, licences, mixing, repeats, simhash, tokens, urls, warc
 from .tables import table
 
 
@@ -42,10 +42,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op9_licences, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
