@@ -277,3 +277,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that no window of the benchmark stands in; each block of them is indexed, searched and left."""
+    at = documents.columns.index("text")
+    for ids, texts in _item_blocks(benchmark):
+        search = _searcher(_Items(ids, texts, window))
+
+        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = pc.cast(batch.column(at), pa.string())
+                for a, b in slices(column, BLOCK_BYTES):
+                    index = _index_block(pa.array(np.arange(a, b)), column.slice(a, b - a))
+                    hits = next(search(iter([index]))).column("hits")
+                    yield batch.slice(a, b - a).filter(pc.equal(pc.list_value_length(hits), 0))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

@@ -163,9 +163,9 @@ class _Profiles:
         return [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, np.clip(score, 0, 1), 0.0)
 
 
-def predict(documents: DataFrame, profiles: list[tuple[str, np.ndarray]], size: int = PROFILE, most: int = DOCUMENT) -> DataFrame:
-    """All columns of documents, then lang_pred and score."""
-    model, documents = _Profiles(profiles, size), documents.drop("lang_pred", "score")
+def predict(documents: DataFrame, profiles: list[tuple[str, np.ndarray]], size: int = PROFILE, most: int = DOCUMENT, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of documents, then the predicted language and its score."""
+    model = _Profiles(profiles, size)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +176,9 @@ def predict(documents: DataFrame, profiles: list[tuple[str, np.ndarray]], size:
                 lang, score = model.predict(texts.slice(a, b - a), most)
                 langs += lang
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*batch.schema.names, *names])
 
-    schema = T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*documents.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return documents.mapInArrow(run, schema)
 
 
@@ -191,3 +191,9 @@ def identify(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text", "lang")
     profiles = train(docs.where(~F.coalesce(held_out(), F.lit(False))))
     return predict(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def with_language(documents: DataFrame) -> DataFrame:
+    """The documents that have a language: all but those predicted `und`."""
+    profiles = train(documents.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False))))
+    return predict(documents, profiles, names=("_lang_pred", "_score")).where("_lang_pred <> 'und'").drop("_lang_pred", "_score")

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import shares
 from .words import SPACE, U64, find, grams, mix, slices, within
@@ -116,7 +117,7 @@ def _table(rows: list[dict], schema: dict) -> pa.Table:
 ANCHORS = {"bucket": pa.int32(), "block": pa.int32(), "one": pa.binary()}
 ANSWERS = {"bucket": pa.int32(), "block": pa.int32(), "bits": pa.binary(), "owners": pa.binary()}
 PASSAGES = {"bucket": pa.int32(), "block": pa.int32(), "one": pa.binary(), "two": pa.binary(), "owners": pa.binary()}
-KEPT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
+KEPT = "n_words bigint, n_removed bigint, kept string"
 
 
 def _ddl(schema: dict) -> str:
@@ -227,10 +228,8 @@ def _removed(block: _Block, owner: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _strip(window: int, buckets: int):
+def _strip(window: int, buckets: int, others: list[str], untouched: bool):
     def strip(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _table([], KEPT)
         block = _Block(docs, window)
         block.candidates(_answers(answers, False), buckets)
         owner, cut = block.least.copy(), _cuts(block.one, buckets)
@@ -250,14 +249,20 @@ def _strip(window: int, buckets: int):
             kept += [whole[x : max(x, y - 1)].decode() for x, y in zip(total[:-1], total[1:], strict=True)]
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
         null = np.asarray(block.texts.is_null())
-        return pa.table({"doc_id": block.ids.cast(pa.int64()), "n_words": pa.array(block.counts), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.string(), mask=null)})
+        if untouched:
+            kept = [t if r else x.as_py() for t, r, x in zip(kept, removed.tolist(), block.texts, strict=True)]
+        own = {"doc_id": block.ids, "n_words": pa.array(block.counts), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.string(), mask=null)}
+        return pa.table({k: docs.column(k) for k in others} | own)
 
     return strip
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of documents: doc_id, n_words, n_removed, kept (its kept words joined by one space)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, others: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+    """Per row of documents: the columns in `others`, doc_id, n_words, n_removed, kept.
+
+    kept has the kept words joined by one space; with `untouched`, texts that lose nothing stay as they are.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = shares(size, block_bytes), shares(size, BUCKET_BYTES)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -266,7 +271,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int
     shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(ANSWERS))
     passages = dealt.cogroup(shared.groupBy("block")).applyInArrow(_send_passages(window, buckets), _ddl(PASSAGES))
     owners = passages.groupBy("bucket").applyInArrow(_answer_passages, _ddl(ANSWERS))
-    return dealt.cogroup(shared.unionByName(owners).groupBy("block")).applyInArrow(_strip(window, buckets), _ddl(KEPT))
+    schema = T.StructType([*(docs.schema[c] for c in others), docs.schema["doc_id"], *T.StructType.fromDDL(KEPT)])
+    return dealt.cogroup(shared.unionByName(owners).groupBy("block")).applyInArrow(_strip(window, buckets, list(others), untouched), schema)
+
+
+def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with what an earlier one has removed from text, and n_chars, if there is one, set anew."""
+    others = tuple(c for c in documents.columns if c not in ("doc_id", "text", "block"))
+    out = remove_repeats(documents, window, others=others, untouched=True).withColumn("text", F.col("kept"))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
+    return out.select(*(c for c in documents.columns if c != "block"))
 
 
 def digest(result: DataFrame) -> DataFrame:
