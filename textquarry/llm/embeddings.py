@@ -37,10 +37,11 @@ from .graph import components, stars
 from .tables import keep
 
 COSINE = 0.9
-BLOCKS = 8
+BLOCKS = 4
 TILE = 1 << 14
 MOST_TILES = 20_000
-MARGIN = 1e-9  # of squared distances, for rounding
+MARGIN = 1e-5  # of squared distances, for rounding in single precision
+STRETCH = 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -92,18 +93,21 @@ class Turn:
 def _block_join(a: np.ndarray, b: np.ndarray, share: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all pairs of rows within the share, by stretches of the first dimension."""
     oa, ob = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
-    a, b, reach = a[oa], b[ob], math.sqrt(share) + 1e-6
-    na, nb = (a * a).sum(1), (b * b).sum(1)
-    step = 512
-    for i in range(0, len(a), step):
-        part = a[i : i + step]
-        lo, hi = np.searchsorted(b[:, 0], [part[0, 0] - reach, part[-1, 0] + reach])
-        for j in range(lo, hi, 4096):
-            k = min(j + 4096, hi)
-            near = np.flatnonzero((part @ b[j:k].T * -2 + na[i : i + step, None] + nb[None, j:k]).reshape(-1) <= share + MARGIN)
-            x, y = oa[i + near // (k - j)], ob[j + near % (k - j)]
-            ok = x < y if same else slice(None)
-            yield x[ok], y[ok]
+    a, b, reach = a[oa], b[ob], math.sqrt(share) + 1e-4
+    x, y = a[:, 0], b[:, 0]
+    # one product gives |a|^2 + |b|^2 - 2ab; single precision, with a margin, as the full comparison follows
+    one = np.ones(len(a)), np.ones(len(b))
+    a = np.column_stack([a * -2, (a * a).sum(1), one[0]]).astype(np.float32)
+    b = np.column_stack([b, one[1], (b * b).sum(1)]).astype(np.float32)
+    for i in range(0, len(a), STRETCH):
+        k = min(i + STRETCH, len(a))
+        lo, hi = np.searchsorted(y, [x[i] - reach, x[k - 1] + reach])
+        for j in range(lo, hi, 4 * STRETCH):
+            to = min(j + 4 * STRETCH, hi)
+            near = np.flatnonzero(a[i:k] @ b[j:to].T <= share + MARGIN)
+            p, q = oa[i + near // (to - j)], ob[j + near % (to - j)]
+            ok = p < q if same else slice(None)
+            yield p[ok], q[ok]
 
 
 def _tile_links(turn: Turn, cosine: float):
