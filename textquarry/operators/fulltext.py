@@ -39,12 +39,16 @@ def postings(chunks: DataFrame, fields: dict[str, str | Column], stem: bool = Fa
     rest, base = [], F.lit(0)
     for weight, text in fields.items():
         words = lexemes(text, stem, stop=False)
-        rest.append(F.transform(words, lambda w, i, b=base, k=weight: F.struct(w.alias("lexeme"), (b + i + 1).cast("int").alias("pos"), F.lit(k).alias("weight"))))
+        rest.append(_placed(words, base, weight))
         base = base + F.size(words) + 1
     stop = rules.STOP_WORDS
     return chunks.select("chunk_id", F.explode(F.filter(F.concat(*rest), lambda p: ~p["lexeme"].isin(stop))).alias("p")).select("chunk_id", "p.*")
 
 
+def _placed(words: Column, base: Column, weight: str) -> Column:
+    return F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (base + i + 1).cast("int").alias("pos"), F.lit(weight).alias("weight")))
+
+
 def _asked(queries: DataFrame, stem: bool) -> DataFrame:
     words = F.array_distinct(lexemes("query", stem))
     return queries.select("qid", F.explode(words).alias("lexeme"), F.size(words).alias("n_lexemes"))
