@@ -38,9 +38,9 @@ def postings(chunks: DataFrame, fields: dict[str, str | Column], stem: bool = Fa
     """
     rest, base = [], F.lit(0)
     for weight, text in fields.items():
-        words = lexemes(text, stem, stop=False)
-        rest.append(_placed(words, base, weight))
-        base = base + F.size(words) + 1
+        words = lexemes(text, stop=False)
+        rest.append(_placed(stemmed(words) if stem else words, base, weight))
+        base = base + F.size(words) + 1  # of the words as they are: a lambda can't hold a Python function
     stop = rules.STOP_WORDS
     return chunks.select("chunk_id", F.explode(F.filter(F.concat(*rest), lambda p: ~p["lexeme"].isin(stop))).alias("p")).select("chunk_id", "p.*")
 

@@ -14,7 +14,9 @@ PRESETS = {"service": (60, 1.0, 0.72), "classic": (60, 1.0, 1.0)}
 def rrf_fuse(vectors: DataFrame, keywords: DataFrame, preset: str = "service") -> DataFrame:
     """(qid, chunk_id, vector_rank, keyword_rank, hybrid_score) of both lists (qid, chunk_id, rank); a missing side adds nothing (H1, H2)."""
     k, wv, wk = PRESETS[preset]
-    both = vectors.select("qid", "chunk_id", F.col("rank").alias("vector_rank")).join(keywords.select("qid", "chunk_id", F.col("rank").alias("keyword_rank")), ["qid", "chunk_id"], "full_outer")
+    none = F.lit(None).cast("int")
+    lists = vectors.select("qid", "chunk_id", F.col("rank").alias("v"), none.alias("k")).unionByName(keywords.select("qid", "chunk_id", none.alias("v"), F.col("rank").alias("k")))
+    both = lists.groupBy("qid", "chunk_id").agg(F.max("v").alias("vector_rank"), F.max("k").alias("keyword_rank"))
     part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(float(k)) + F.col(r)), F.lit(0.0))
     return both.withColumn("hybrid_score", F.round(part(wv, "vector_rank") + part(wk, "keyword_rank"), 6))
 

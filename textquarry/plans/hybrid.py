@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fulltext, fusion, rerank, scoring, understand
 from ..operators.vector import few, top, vector_topk
+from ..sources.kept import kept
 
 META = ("citation", "topic", "subtopic", "official_url")
 
@@ -38,7 +39,8 @@ def retrieve(chunks: DataFrame, posted: DataFrame, queries: DataFrame, top_k: in
 
     fused = fusion.rrf_fuse(near, keywords)  # at most 2 * candidates rows a query: small from here on
     rows = meta.join(F.broadcast(fused), "chunk_id").join(words, "qid")
-    rows = scoring.with_boost(rows).withColumn("hybrid_score", F.round(F.col("hybrid_score") + F.col("boost"), 6))
+    # the boost is one large expression: written out, as the optimizer would carry it through every filter above
+    rows = kept(scoring.with_boost(rows).withColumn("hybrid_score", F.round(F.col("hybrid_score") + F.col("boost"), 6)))
     best = top(fusion.dedupe_best(rows), [F.desc("hybrid_score"), F.col("chunk_id")], top_k)
     best = best.withColumn("source_family", rerank.source_family("version_name"))
     if understand_queries:

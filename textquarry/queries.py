@@ -163,9 +163,9 @@ def keyword_topk(spark, sf):
 
 
 PHRASE_SQL = f"""pos AS (SELECT doc_id AS chunk_id, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS ws FROM documents)),
-asked AS (SELECT * FROM (SELECT item_id AS qid, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS at FROM (SELECT item_id, {WORDS_SQL.format('text')} AS ws FROM benchmark)) WHERE NOT list_contains({STOP_SQL}, lexeme)),
+asked AS (SELECT * FROM (SELECT item_id AS qid, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS place FROM (SELECT item_id, {WORDS_SQL.format('text')} AS ws FROM benchmark)) WHERE NOT list_contains({STOP_SQL}, lexeme)),
 n AS (SELECT qid, count(*) AS n FROM asked GROUP BY qid),
-starts AS (SELECT qid, chunk_id, pos - at AS start, count(DISTINCT at) AS c FROM pos JOIN asked USING (lexeme) GROUP BY ALL),
+starts AS (SELECT qid, chunk_id, pos - place AS begin_at, count(DISTINCT place) AS c FROM pos JOIN asked USING (lexeme) GROUP BY ALL),
 phrases AS (SELECT qid, chunk_id, count(*)::DOUBLE AS kw_score FROM starts JOIN n USING (qid) WHERE c = n GROUP BY ALL)"""
 
 
