@@ -18,7 +18,7 @@ tiles remain and work grows with the square of the number of different vectors;
 
 Defined results: a vector that is null, zero, or holds null or non-finite components, or whose length
 differs from the most common one, links with nothing, and is its own component; a null vec_id takes part,
-but names no component (null if it is alone); repeated rows are linked copies of each other if their vector can link;
+but names no component, and is kept only where none of its component has a vec_id (component_id is null then); repeated rows are linked copies of each other if their vector can link;
 an empty table gives an empty result; only vec_id and embedding are read.
 """
 
@@ -157,7 +157,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, blocks: int =
     if linked is None:
         return alone
     members = usable.join(linked.join(nodes.select("node", "vector"), "node"), "vector")
-    return members.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")).unionByName(alone)
+    return members.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def _linked(nodes: DataFrame, width: int, cosine: float, blocks: int, tile: int) -> DataFrame | None:
