@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from samples import documents, prose, same, texts
+from samples import documents, same, texts
 
 from textquarry.llm import decontaminate, langid, licences, mixing, repeats, simhash, tokens
 from textquarry.llm.queries import QUERIES
@@ -347,9 +347,8 @@ def test_without_repeats_keeps_columns(spark):
         assert (r.text == before[r.doc_id]) == (expected[r.doc_id] == 0)
 
 
-def test_repeats_by_hypothesis(spark):
+def test_repeats_of_few_words(spark):
     rng = random.Random(8)
     for _ in range(3):
         rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 40)))) for i in range(40)]
         assert same(repeats.digest(repeats.remove_repeats(documents(spark, rows))).collect(), plain_repeats(rows))
-    assert prose(rng, 0) == ""

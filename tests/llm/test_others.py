@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import math
 import os
 import random
@@ -137,7 +138,7 @@ def test_archives_are_one_member_a_record(spark, tmp_path):
         assert len(index) == r.n and r.bytes == len(data) == os.path.getsize(path)
         at = 0
         for line in index:
-            offset, length = eval(line)[:2]  # noqa: S307
+            offset, length = json.loads(line)[:2]
             assert offset == at
             assert gzip.decompress(data[at : at + length]).startswith(b"WARC/1.1\r\n")
             at += length
