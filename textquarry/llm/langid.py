@@ -14,8 +14,13 @@ MOST_LANGUAGES, which is checked.
 The score is how much nearer the best profile is than the mean of the others: 1 - best / mean,
 between 0 and 1 (1 if there is one language only).
 
+`with_language` rejects what is in none of the learned languages: texts whose distance, as a share of the largest
+possible, is beyond a limit. The limit is the largest share among the held-out labelled rows of at least
+as many different n-grams (by powers of two, as short texts stand farther off), moved by MARGIN of the way to 1;
+texts shorter than all of those have no limit.
+
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if
-nothing was learned; only the text is an input of a prediction; rows of null lang teach nothing;
+nothing was learned (`with_language` then keeps all texts with a letter); only the text is an input of a prediction; rows of null lang teach nothing;
 repeated rows count as often as they stand in training; an empty table gives an empty result.
 """
 
@@ -36,6 +41,7 @@ from .words import slices
 PROFILE = 400
 DOCUMENT = 400
 MOST_LANGUAGES = 1000
+MARGIN = 0.25
 _BITS = 21  # of a code point
 _letter: list[np.ndarray] = []
 
@@ -146,18 +152,32 @@ class _Profiles:
         for k, (_, g) in enumerate(profiles):
             self.ranks[np.searchsorted(self.grams, g), k] = np.arange(len(g))
 
-    def predict(self, texts: pa.Array, most: int) -> tuple[list[str], np.ndarray]:
+    def _distances(self, texts: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many n-grams each text has, and its distance from each language."""
         of, gram, rank = counted(texts, None, most)
         n = len(texts)
+        sizes = np.bincount(of, minlength=n)
         if not self.langs:
-            return ["und"] * n, np.zeros(n)
+            return sizes, np.zeros((n, 0))
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
         place = self.ranks[np.where(self.grams[at] == gram, at, len(self.grams))]
         off = np.where(place < 0, self.size, np.abs(place - rank[:, None]))
-        total = np.stack([np.bincount(of, off[:, k], n) for k in range(len(self.langs))], 1)
+        return sizes, np.stack([np.bincount(of, off[:, k], n) for k in range(len(self.langs))], 1)
+
+    def share(self, texts: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the binary logarithm of its number of n-grams (-1 if none), and its least distance as a share of the largest possible."""
+        sizes, total = self._distances(texts, most)
+        least = total.min(1) if self.langs else np.zeros(len(sizes))
+        return np.frexp(sizes)[1] - 1, least / np.maximum(1, sizes * self.size)
+
+    def predict(self, texts: pa.Array, most: int) -> tuple[list[str], np.ndarray]:
+        sizes, total = self._distances(texts, most)
+        n = len(texts)
+        if not self.langs:
+            return ["und"] * n, np.zeros(n)
         best = total.argmin(1)
         least = total[np.arange(n), best]
-        some = np.bincount(of, minlength=n) > 0
+        some = sizes > 0
         rest = (total.sum(1) - least) / max(1, len(self.langs) - 1)
         score = np.where(rest > 0, 1 - least / np.maximum(rest, 1e-300), 0.0) if len(self.langs) > 1 else np.ones(n)
         return [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, np.clip(score, 0, 1), 0.0)
@@ -193,7 +213,37 @@ def identify(documents: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def with_language(documents: DataFrame) -> DataFrame:
-    """The documents that have a language: all but those predicted `und`."""
-    profiles = train(documents.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False))))
-    return predict(documents, profiles, names=("_lang_pred", "_score")).where("_lang_pred <> 'und'").drop("_lang_pred", "_score")
+def _limits(documents: DataFrame, model: _Profiles, most: int) -> np.ndarray:
+    """The largest share that a text may have, by the binary logarithm of its number of n-grams; from documents(text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0), 1 << 20):
+                size, share = model.share(batch.column(0).slice(a, b - a), most)
+                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(share)], names=["size", "share"])
+
+    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "size int, share double")
+    found = {r["size"]: r["share"] for r in rows.where("size >= 0").groupBy("size").agg(F.max("share").alias("share")).collect()}
+    out, largest = np.full(int(most).bit_length() + 1, np.inf), 0.0
+    for size in sorted(found, reverse=True):
+        largest = max(largest, found[size])
+        out[size:][out[size:] == np.inf] = largest + MARGIN * (1 - largest)
+    return out
+
+
+def with_language(documents: DataFrame, size: int = PROFILE, most: int = DOCUMENT) -> DataFrame:
+    """The documents that are in one of the learned languages; all that have a letter if none was learned."""
+    held = F.coalesce(held_out(), F.lit(False))
+    docs = documents.select("doc_id", "text", "lang")
+    model = _Profiles(train(docs.where(~held), size), size)
+    limits = _limits(docs.where(held & F.col("lang").isNotNull()), model, most) if model.langs else np.full(int(most).bit_length() + 1, np.inf)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.cast(batch.column(at), pa.string())
+            for a, b in slices(texts, 1 << 20):
+                n_grams, share = model.share(texts.slice(a, b - a), most)
+                yield batch.slice(a, b - a).filter(pa.array((n_grams >= 0) & (share <= limits[n_grams])))
+
+    return documents.mapInArrow(run, documents.schema)
