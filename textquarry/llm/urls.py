@@ -3,8 +3,8 @@
 The urls that a rule allows or blocks teach two smoothed variable-order Markov models of
 characters: n-grams of up to ORDER + 1 characters are counted over all such urls, and an n-gram's
 probability after its context is interpolated with that after the shorter context (Witten-Bell
-weights), down to an even one over ALPHABET characters. Contexts are as long as what was seen: of all
-n-grams the MOST_GRAMS most frequent of each class are kept, which bounds what is broadcast.
+weights), down to an even one over ALPHABET characters. All n-grams are kept, as a table with the totals
+of their contexts; the distinct n-grams of the urls are joined to it and their ratios summed by url.
 
 A url's score is the difference of its log-likelihoods, accepted less rejected, divided by its length. The threshold
 is calibrated on a fifth of the labelled urls (by a hash of the url) that the models don't learn
@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .tables import keep
 
 ORDER = 5
-MOST_GRAMS = 200_000
 ALPHABET = 256
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -116,27 +116,63 @@ class Ratio:
 
 
 def fit(labelled: DataFrame) -> Ratio | None:
-    """From labelled(url, verdict); None if a class is missing."""
+    """The models on the driver, for few urls, from labelled(url, verdict); None if a class is missing. `judge` holds them as tables."""
     counts = _gram_counts(labelled)
     models = {}
     for verdict in ("allow", "block"):
-        rows = counts.where(F.col("verdict") == verdict).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
+        rows = counts.where(F.col("verdict") == verdict).collect()
         if not rows:
             return None
         models[verdict] = Model({r.gram: r.n for r in rows})
     return Ratio(models["allow"], models["block"])
 
 
-def scored(pages: DataFrame, ratio: Ratio) -> DataFrame:
-    """All columns of pages, then score."""
-    at = pages.columns.index("url")
+def _ratios(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, ratio) of distinct grams(gram), by the n-grams of counts(verdict, gram, n); as Ratio has it."""
+    sides = ("allow", "block")
+    of = lambda v, x: F.sum(F.when(F.col("verdict") == v, x))
+    context = F.expr("left(gram, length(gram) - 1)")
+    totals = counts.groupBy(context.alias("context")).agg(*(of(v, F.col("n")).alias(f"total_{v}") for v in sides), *(of(v, F.lit(1)).alias(f"kinds_{v}") for v in sides))
+    known = counts.groupBy("gram").agg(*(of(v, F.col("n")).alias(f"n_{v}") for v in sides)).withColumnRenamed("gram", "part")
+    parts = grams.select("gram", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"))
+    parts = parts.withColumn("part", F.expr("right(gram, k)")).withColumn("context", F.expr("left(right(gram, k), k - 1)"))
+    # suffixes repeat: each different one meets the tables once
+    looked = keep(parts.select("part", "context").distinct().join(known, "part", "left").join(totals, "context", "left"))
+    found = parts.drop("context").join(looked, "part").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *(f"{x}_{v}" for v in sides for x in ("n", "total", "kinds"))))).alias("steps"))
+
+    def probability(v: str) -> F.Column:
+        def longer(p: F.Column, s: F.Column) -> F.Column:
+            both = s[f"total_{v}"] + s[f"kinds_{v}"]
+            return F.when(both.isNull(), p).otherwise(F.coalesce(s[f"n_{v}"], F.lit(0)) / both + s[f"kinds_{v}"] / both * p)
+
+        return F.aggregate("steps", F.lit(1 / ALPHABET), longer)
+
+    return found.select("gram", F.log(probability("allow") / probability("block")).alias("ratio"))
+
+
+def _url_grams(urls: DataFrame) -> DataFrame:
+    """(key, gram, n, size): the longest n-grams of distinct urls(key, url)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [ratio.score(u) for u in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            out: list[tuple] = []
+            for key, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = _plain(url)
+                found = Counter(text[i - ORDER - 1 : i] for i in range(ORDER + 1, len(text) + 1))
+                out += [(key, gram, n, len(text) - ORDER) for gram, n in found.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "gram", "n", "size"])
+
+    return urls.select("key", "url").mapInArrow(run, "key string, gram string, n bigint, size bigint")
+
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema, T.StructField("score", T.DoubleType())]))
+def scored(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """All columns of pages(url, ...), then score, by counts(verdict, gram, n) of what was learned."""
+    pages = pages.withColumn("_key", F.coalesce("url", F.lit("")))
+    grams = keep(_url_grams(pages.select(F.col("_key").alias("key"), F.col("_key").alias("url")).distinct()))
+    ratios = keep(_ratios(counts, grams.select("gram").distinct()))
+    sums = grams.join(ratios, "gram").groupBy("key", "size").agg(F.sum(F.col("ratio") * F.col("n")).alias("sum"))
+    return pages.join(sums.select(F.col("key").alias("_key"), (F.col("sum") / F.col("size")).alias("score")), "_key").drop("_key")
 
 
 def calibrate(scores: DataFrame) -> float:
@@ -161,12 +197,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), rules)
     labelled = rows.where("rule is not null").select("url", F.col("rule_verdict").alias("verdict"))
     aside = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    ratio = fit(labelled.where(~aside))
-    if ratio is None:
+    counts = keep(_gram_counts(labelled.where(~aside)))
+    if counts.select("verdict").distinct().count() < 2:
         return rows.select("page_id", "host", "path", "rule", F.lit(0.0).alias("score"), F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    threshold = calibrate(scored(labelled.where(aside), ratio))
+    rows = keep(scored(rows, counts))
+    threshold = calibrate(rows.where("rule is not null").where(aside).select("score", F.col("rule_verdict").alias("verdict")))
     said = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return scored(rows, ratio).select("page_id", "host", "path", "rule", "score", F.coalesce("rule_verdict", said).alias("verdict"))
+    return rows.select("page_id", "host", "path", "rule", "score", F.coalesce("rule_verdict", said).alias("verdict"))
 
 
 def digest(result: DataFrame) -> DataFrame:
