@@ -1,7 +1,7 @@
 """Full-text search over a table of postings, made once when chunks are written.
 
 postings(chunk_id, lexeme, pos, weight) is what an inverted index holds; bucketed by lexeme it serves a
-query by its few lexemes. A query's lexemes are broadcast (their number is checked), so the postings
+query by its few lexemes. Lexemes asked for are broadcast up to MOST_LEXEMES, so the postings
 are filtered where they lie, and a chunk's matching postings are aggregated with partial sums.
 
 Ranking is semantic parity with a database's cover density, not its floats: see cover_density.
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import either, matches
-from .vector import few, top
+from .vector import top
 
 #: Weights of the classes of fields.
+MOST_LEXEMES = 100_000
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 WORD = r"[\p{L}\p{N}]+"
 
@@ -54,9 +55,14 @@ def _asked(queries: DataFrame, stem: bool) -> DataFrame:
     return queries.select("qid", F.explode(words).alias("lexeme"), F.size(words).alias("n_lexemes"))
 
 
+def _beside(asked: DataFrame) -> DataFrame:
+    """asked, to be broadcast up to MOST_LEXEMES rows; beyond, the join on lexeme is an ordinary shuffled one."""
+    return F.broadcast(asked) if asked.limit(MOST_LEXEMES + 1).count() <= MOST_LEXEMES else asked
+
+
 def keyword_matches(posted: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, chunk_id, kw_score): chunks that have every lexeme of the query; the score adds up weighted term frequencies."""
-    asked = few(_asked(queries, stem), 100_000)
+    asked = _beside(_asked(queries, stem))
     weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))[F.col("weight")]
     by_word = posted.join(asked, "lexeme").groupBy("qid", "chunk_id", "n_lexemes", "lexeme").agg(F.sum(weight).alias("tf"))
     whole = by_word.groupBy("qid", "chunk_id", "n_lexemes").agg(F.count("*").alias("n"), F.sum(F.col("tf") / (1 + F.col("tf"))).alias("s"))
@@ -76,7 +82,7 @@ def phrase_topk(posted: DataFrame, phrases: DataFrame, k: int = 12, stem: bool =
     words = lexemes("query", stem, stop=False)
     own = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), i.alias("at"))), lambda p: ~p["lexeme"].isin(rules.STOP_WORDS))
     asked = phrases.select("qid", F.size(own).alias("n_lexemes"), F.explode(own).alias("p")).select("qid", "n_lexemes", "p.*")
-    starts = posted.join(few(asked, 100_000), "lexeme").groupBy("qid", "chunk_id", "n_lexemes", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
+    starts = posted.join(_beside(asked), "lexeme").groupBy("qid", "chunk_id", "n_lexemes", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
     found = starts.where("n = n_lexemes").groupBy("qid", "chunk_id").agg(F.count("*").cast("double").alias("kw_score"))
     return top(found, [F.desc("kw_score"), F.col("chunk_id")], k)
 
@@ -86,7 +92,7 @@ def cover_density(posted: DataFrame, queries: DataFrame, stem: bool = False) ->
 
     Each cover gives its mean weight divided by the number of words in it beyond the lexemes, plus one.
     """
-    asked = few(_asked(queries, stem), 100_000)
+    asked = _beside(_asked(queries, stem))
     hits = posted.join(asked, "lexeme").groupBy("qid", "chunk_id", "n_lexemes").agg(F.array_sort(F.collect_list(F.struct("pos", "lexeme", "weight"))).alias("hits"), F.count_distinct("lexeme").alias("n"))
 
     @F.pandas_udf("double")
