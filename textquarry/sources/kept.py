@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder in spark.checkpoint.dir (one of our own only where that is unset, as in tests), read back."""
+    """df as Parquet in the folder in spark.checkpoint.dir (one of our own only where that is unset and all runs on this machine), read back."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="textquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
