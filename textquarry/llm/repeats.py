@@ -8,19 +8,22 @@ all later steps find them there, and exchange with each other only packed finger
    anchors, and neighbours mostly share one, so a block has few. Buckets of anchors, ranges of
    hash values, tell each block which of its anchors another block has too.
 2. Passages. Windows with such an anchor (or one that two documents of the block have) may recur. Their
-   96-bit fingerprints, each once per block with the smallest doc_id there, go to buckets again,
+   128-bit fingerprints, each once per block with the smallest doc_id there, go to buckets again,
    which confirm those that recur and answer with the smallest doc_id of all.
 3. Automata. A block compiles the passages confirmed for its own documents into Aho-Corasick automata
-   over word numbers (exact within the block), one for each shard of SHARD_WORDS words of text,
+   over words, one for each shard of SHARD_WORDS words of text,
    streams every document through its shard's and removes what an earlier document owns.
 
 A phrase in a third of all documents costs one fingerprint for each block that has it, not one for
-each document, so no bucket has a hot key; no pairs are formed. The chance that two of n different
-windows share a fingerprint is about n**2 / 2**97.
+each document, so no bucket has a hot key; no pairs are formed. A block sends rows to those buckets only of which it
+holds a hash. Words are known by 128 bits, so are windows: the chance that two of n different ones are taken for
+one is about n**2 / 2**129.
 
 Defined results: a null text has no words, and its kept text is null; a null doc_id neither
 owns nor loses anything; repeated rows (same doc_id) don't remove each other's words, as neither is
-smaller; an empty table gives an empty result; other columns aren't read.
+smaller; where several documents tie for the smallest doc_id of a window, none of them loses it; an empty table gives an
+empty result; other columns aren't read, or kept whatever their names (`without_repeats`). A text of any length is one
+row of one block: it takes about 100 bytes of a task's memory for each of its words.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import shares
+from .tables import keep, shares
 from .words import SPACE, U64, find, grams, mix, slices, within
 
 WINDOW = 13
@@ -40,7 +44,7 @@ GRAM = 6
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 SHARD_WORDS = 1 << 17
-_OTHER = U64(0xA24BAED4963EE407)
+ROW_BYTES = 64  # of a row beside its text
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -57,16 +61,16 @@ class _Block:
 
     def __init__(self, table: pa.Table, window: int):
         table = table.combine_chunks()
-        self.ids, self.texts, self.window = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks(), window
-        if isinstance(self.ids, pa.ChunkedArray):
-            self.ids, self.texts = (pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type) for x in (self.ids, self.texts))
-        parts = [find(self.texts.slice(a, b - a), SPACE) for a, b in slices(self.texts)]
-        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(getattr(x, name) for x in parts)]).astype(kind)
-        self.counts = join("counts", np.int64)
-        self.hash = np.concatenate([np.zeros(0, U64), *(x.hashes() for x in parts)])
+        self.ids, self.texts, self.window = _whole(table.column("doc_id")), _whole(table.column("text")), window
+        counts, one, two = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)]
+        for a, b in slices(self.texts):
+            words = find(self.texts.slice(a, b - a), SPACE)
+            for out, x in zip((counts, one, two), (words.counts, *words.hashes128()), strict=True):
+                out.append(x)
+        self.counts, self.hash, self.other = np.concatenate(counts), np.concatenate(one), np.concatenate(two)
         self.known = ~np.asarray(self.ids.is_null())
         self.doc = self.ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         ok = within(self.counts, window)
         self.at = np.flatnonzero(ok & self.known[self.row[: len(ok)]])  # first words of windows
         gram = min(GRAM, window)
@@ -82,18 +86,17 @@ class _Block:
         last = np.append(begin[1:], len(x))[: len(begin)] - 1
         return x[begin], row[begin] != row[last]
 
-    def candidates(self, answers: list[tuple[int, bytes | None, bytes]], buckets: int) -> None:
+    def candidates(self, answers: pa.Table, buckets: int) -> None:
         """Sets the windows that may recur, and their distinct fingerprints in ascending order."""
         distinct, again = self.anchor_set()
-        cut = _cuts(distinct, buckets)
-        for bucket, _, bits in answers:
-            a, b = cut[bucket], cut[bucket + 1]
+        runs = _Runs(distinct, buckets)
+        for bucket, bits in _rows(answers, False, "bucket", "bits"):
+            a, b = runs.of(bucket)
             again[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         use = again[np.searchsorted(distinct, self.anchors)] if len(distinct) else np.zeros(0, bool)
         self.start = self.at[use]
         self.of = self.row[self.start]
-        one, two = grams(self.hash, self.window), grams(mix(self.hash ^ _OTHER), self.window)
-        one, two = one[self.start], (two[self.start] >> U64(32)).astype(np.uint32)
+        one, two = grams(self.hash, self.window)[self.start], grams(self.other, self.window)[self.start]
         order = np.lexsort((self.doc[self.of], two, one))
         one, two = one[order], two[order]
         new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(order) else np.zeros(0, bool)
@@ -104,10 +107,28 @@ class _Block:
         self.least = self.doc[self.of[order[new]]]
 
 
-def _cuts(ascending: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, a range of hash values, begins; and the end."""
-    bounds = [U64(b * 2**64 // buckets) for b in range(buckets)]
-    return np.concatenate([np.searchsorted(ascending, np.array(bounds, U64)), [len(ascending)]])
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return (pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)) if isinstance(column, pa.ChunkedArray) else column
+
+
+class _Runs:
+    """The buckets, ranges of hash values, that ascending hashes fall into: only those that hold any."""
+
+    def __init__(self, ascending: np.ndarray, buckets: int):
+        bucket = ((ascending >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        self.begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        self.buckets = bucket[self.begins]
+        self.cuts = np.append(self.begins, len(bucket))
+
+    def of(self, bucket: int) -> tuple[int, int]:
+        k = int(np.searchsorted(self.buckets, bucket))
+        return int(self.cuts[k]), int(self.cuts[k + 1])
+
+    def packed(self, values: np.ndarray) -> pa.Array:
+        """The values of each run as bytes."""
+        values = np.ascontiguousarray(values)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(self.begins), [None, pa.py_buffer((self.cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def _table(rows: list[dict], schema: dict) -> pa.Table:
@@ -129,11 +150,15 @@ def _number(table: pa.Table, name: str) -> int:
     return table.column(name)[0].as_py()
 
 
+def _sent(block: int, runs: _Runs, columns: dict[str, np.ndarray]) -> pa.Table:
+    n = len(runs.buckets)
+    return pa.table({"bucket": pa.array(runs.buckets, pa.int32()), "block": pa.array(np.full(n, block), pa.int32())} | {k: runs.packed(x) for k, x in columns.items()})
+
+
 def _send_anchors(window: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         distinct, _ = _Block(table, window).anchor_set()
-        cut, block = _cuts(distinct, buckets), _number(table, "block")
-        return _table([{"bucket": b, "block": block, "one": distinct[cut[b] : cut[b + 1]].tobytes()} for b in range(buckets) if cut[b] < cut[b + 1]], ANCHORS)
+        return _sent(_number(table, "block"), _Runs(distinct, buckets), {"one": distinct})
 
     return send
 
@@ -153,9 +178,10 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     return _table([{"bucket": b, "block": k, "bits": np.packbits(s).tobytes(), "owners": None} for b, k, s in rows if s.any()], ANSWERS)
 
 
-def _answers(table: pa.Table, owners: bool) -> list[tuple[int, bytes, bytes]]:
-    rows = zip(*(table.column(k).to_pylist() for k in ("bucket", "owners", "bits")), strict=True)
-    return [r for r in rows if (r[1] is not None) == owners]
+def _rows(answers: pa.Table, owners: bool, *names: str) -> list[tuple]:
+    """The answers about owners, or those about anchors."""
+    rows = answers.filter(pc.is_valid(answers.column("owners")) if owners else pc.is_null(answers.column("owners")))
+    return list(zip(*(rows.column(k).to_pylist() for k in names), strict=True))
 
 
 def _send_passages(window: int, buckets: int):
@@ -163,16 +189,15 @@ def _send_passages(window: int, buckets: int):
         if not docs.num_rows:
             return _table([], PASSAGES)
         block = _Block(docs, window)
-        block.candidates(_answers(answers, False), buckets)
-        cut, number = _cuts(block.one, buckets), _number(docs, "block")
-        return _table([{"bucket": b, "block": number} | {k: x[cut[b] : cut[b + 1]].tobytes() for k, x in (("one", block.one), ("two", block.two), ("owners", block.least))} for b in range(buckets) if cut[b] < cut[b + 1]], PASSAGES)
+        block.candidates(answers, buckets)
+        return _sent(_number(docs, "block"), _Runs(block.one, buckets), {"one": block.one, "two": block.two, "owners": block.least})
 
     return send
 
 
 def _answer_passages(table: pa.Table) -> pa.Table:
     one, ends = _joined(table, "one", U64)
-    two, least = _joined(table, "two", np.uint32)[0], _joined(table, "owners", np.int64)[0]
+    two, least = _joined(table, "two", U64)[0], _joined(table, "owners", np.int64)[0]
     order = np.lexsort((least, two, one))
     a, b = one[order], two[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -192,8 +217,6 @@ def _spelled(codes: np.ndarray, base: int) -> str:
 
 def _removed(block: _Block, owner: np.ndarray) -> np.ndarray:
     """Of each word of the block, whether an automaton found it in a passage owned by an earlier document."""
-    coded = pa.chunked_array([find(block.texts.slice(a, b - a), SPACE).strings() for a, b in slices(block.texts)], pa.large_string()).dictionary_encode().unify_dictionaries()
-    numbers = np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy(zero_copy_only=False) for x in coded.chunks)])
     later = owner[block.group] < block.doc[block.of]  # of each candidate, whether its passage matters here
     first = np.concatenate([[0], np.cumsum(block.counts)])
     edge = np.zeros(first[-1] + 1, np.int64)
@@ -205,7 +228,7 @@ def _removed(block: _Block, owner: np.ndarray) -> np.ndarray:
         passages = np.unique(block.group[a:b][later[a:b]])
         if not len(passages):
             continue
-        words = numbers[block.sample[passages][:, None] + np.arange(n)]
+        words = block.hash[block.sample[passages][:, None] + np.arange(n)]
         known, words = np.unique(words, return_inverse=True)
         base = int(len(known) ** 0.5) + 1
         spelled = _spelled(words.reshape(-1), base)
@@ -213,7 +236,7 @@ def _removed(block: _Block, owner: np.ndarray) -> np.ndarray:
         for k, p in enumerate(passages.tolist()):
             automaton.add_word(spelled[2 * n * k : 2 * n * (k + 1)], p)
         automaton.make_automaton()
-        text = numbers[first[own[0]] : first[own[-1] + 1]]
+        text = block.hash[first[own[0]] : first[own[-1] + 1]]
         at = np.minimum(np.searchsorted(known, text), len(known) - 1)
         text = _spelled(np.where(known[at] == text, at, len(known)), base)
         for r in own.tolist():
@@ -228,60 +251,76 @@ def _removed(block: _Block, owner: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _strip(window: int, buckets: int, others: list[str], untouched: bool):
+def _strip(window: int, buckets: int, rest: bool, untouched: bool):
     def strip(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(docs, window)
-        block.candidates(_answers(answers, False), buckets)
-        owner, cut = block.least.copy(), _cuts(block.one, buckets)
-        for bucket, owners, bits in _answers(answers, True):
-            part = owner[cut[bucket] : cut[bucket + 1]]
-            part[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)] = np.frombuffer(owners, np.int64)
+        block.candidates(answers, buckets)
+        owner, runs = block.least.copy(), _Runs(block.one, buckets)
+        for bucket, owners, bits in _rows(answers, True, "bucket", "owners", "bits"):
+            a, b = runs.of(bucket)
+            owner[a:b][np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)] = np.frombuffer(owners, np.int64)
         gone = _removed(block, owner)
         first = np.concatenate([[0], np.cumsum(block.counts)])
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
         kept = []
         for a, b in slices(block.texts):
+            if untouched and not removed[a:b].any():
+                kept.append(block.texts.slice(a, b - a).cast(pa.string()))
+                continue
             words = find(block.texts.slice(a, b - a), SPACE)
             stay = ~gone[first[a] : first[b]]
             sizes = words.ends - words.starts + 1
-            data = words.data[np.repeat(stay, sizes)]
+            data = words.data[np.repeat(stay, sizes)].tobytes()
             total = np.concatenate([[0], np.cumsum(sizes * stay)])[words.first]
-            whole = data.tobytes()
-            kept += [whole[x : max(x, y - 1)].decode() for x, y in zip(total[:-1], total[1:], strict=True)]
-        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
-        null = np.asarray(block.texts.is_null())
-        if untouched:
-            kept = [t if r else x.as_py() for t, r, x in zip(kept, removed.tolist(), block.texts, strict=True)]
-        own = {"doc_id": block.ids, "n_words": pa.array(block.counts), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.string(), mask=null)}
-        return pa.table({k: docs.column(k) for k in others} | own)
+            part = [data[x : max(x, y - 1)].decode() for x, y in zip(total[:-1], total[1:], strict=True)]
+            if untouched:
+                part = [t if r else x.as_py() for t, r, x in zip(part, removed[a:b].tolist(), block.texts.slice(a, b - a), strict=True)]
+            kept.append(pa.array(part, pa.string(), mask=np.asarray(block.texts.slice(a, b - a).is_null())))
+        own = {"doc_id": block.ids, "n_words": pa.array(block.counts), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.chunked_array(kept, pa.string())}
+        return pa.table(({"rest": docs.column("rest")} if rest else {}) | own)
 
     return strip
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, others: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
-    """Per row of documents: the columns in `others`, doc_id, n_words, n_removed, kept.
+def _dealt(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """docs with `block`, by a hash of the row, and their bytes.
+
+    Rows that repeat beyond a block's bytes are written out first and dealt by their numbers, so that no block holds them all.
+    """
+    sizes = docs.groupBy(F.xxhash64("doc_id", "text")).agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows"))
+    size, hot = sizes.agg(F.sum("n"), F.max(F.when(F.col("rows") > 1, F.greatest("n", F.col("rows") * ROW_BYTES)))).first()
+    blocks = shares(size or 0, block_bytes)
+    key = [F.col("doc_id"), F.col("text")]
+    if (hot or 0) > block_bytes:
+        docs = keep(docs)
+        key.append(F.monotonically_increasing_id())
+    return docs.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")), size or 0
+
+
+def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, rest: bool = False, untouched: bool = False) -> DataFrame:
+    """Per row of documents: doc_id, n_words, n_removed, kept; before them, with `rest`, a struct of all columns but text.
 
     kept has the kept words joined by one space; with `untouched`, texts that lose nothing stay as they are.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = shares(size, block_bytes), shares(size, BUCKET_BYTES)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    docs, size = _dealt(documents.select(*own, *([F.struct(*(c for c in documents.columns if c != "text")).alias("rest")] if rest else [])), block_bytes)
+    buckets = shares(size, BUCKET_BYTES)
     dealt = docs.groupBy("block")
     anchors = dealt.applyInArrow(_send_anchors(window, buckets), _ddl(ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(ANSWERS))
     passages = dealt.cogroup(shared.groupBy("block")).applyInArrow(_send_passages(window, buckets), _ddl(PASSAGES))
     owners = passages.groupBy("bucket").applyInArrow(_answer_passages, _ddl(ANSWERS))
-    schema = T.StructType([*(docs.schema[c] for c in others), docs.schema["doc_id"], *T.StructType.fromDDL(KEPT)])
-    return dealt.cogroup(shared.unionByName(owners).groupBy("block")).applyInArrow(_strip(window, buckets, list(others), untouched), schema)
+    schema = T.StructType([*([docs.schema["rest"]] if rest else []), docs.schema["doc_id"], *T.StructType.fromDDL(KEPT)])
+    return dealt.cogroup(shared.unionByName(owners).groupBy("block")).applyInArrow(_strip(window, buckets, rest, untouched), schema)
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with what an earlier one has removed from text, and n_chars, if there is one, set anew."""
-    others = tuple(c for c in documents.columns if c not in ("doc_id", "text", "block"))
-    out = remove_repeats(documents, window, others=others, untouched=True).withColumn("text", F.col("kept"))
+    """The documents with what an earlier one has removed from text, and n_chars, if there is one, set anew; all columns stay."""
+    out = remove_repeats(documents, window, rest=True, untouched=True)
+    own = {"text": F.col("kept").cast(documents.schema["text"].dataType)}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*(c for c in documents.columns if c != "block"))
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("rest.n_chars")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*((own[c] if c in own else F.col("rest")[c]).alias(c) for c in documents.columns))
 
 
 def digest(result: DataFrame) -> DataFrame:

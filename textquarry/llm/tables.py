@@ -5,8 +5,14 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MOST_BITS = 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,21 +20,98 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and everything runs on this machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="textquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, kept; the tables that were kept on the way there are deleted."""
+    before = len(_written)
+    out = keep(make())
+    drop(out.sparkSession, _written[before:-1])
+    return out
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _written.remove(path)
+
+
+def last_kept() -> str:
+    return _written[-1]
+
+
+def row_key(documents: DataFrame) -> list[Column]:
+    """128 bits, in two columns, that stand for a row of documents(doc_id, text)."""
+    return [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(7), "text", "doc_id")]
+
+
+def sieve(documents: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """documents in two parts: rows that are surely not of keys(k1, k2), and the others with their keys, whose names come last.
+
+    A bitmap of at most 2**MOST_BITS bits tells them apart, so that texts that needn't be looked up aren't
+    shuffled; a full one leaves every row to the second part.
+    """
+    bits = min(MOST_BITS, max(10, (16 * keys.count()).bit_length()))
+    spot = F.shiftrightunsigned("k1", 64 - bits)
+    words = keys.select(spot.alias("spot")).groupBy(F.expr("spot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    k1, k2 = fresh(documents.columns, "k1", "k2")
+    keyed = documents.select("*", *(c.alias(n) for c, n in zip(row_key(documents), (k1, k2), strict=True)))
+    at = keyed.columns.index(k1)
+
+    def part(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+                marked = (marks[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                yield batch.filter(pa.array(marked == hit))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return part(False).drop(k1, k2), part(True), (k1, k2)
+
+
+def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """documents without the rows of keys(k1, k2)."""
+    clear, others, (k1, k2) = sieve(documents, keys)
+    gone = keys.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    return clear.unionByName(others.join(gone, [k1, k2], "left_anti").drop(k1, k2))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, with underlines ahead of those that are taken."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+        low.add(name.lower())
+    return out
+
+
 def shares(total_bytes: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil((total_bytes or 0) / each))

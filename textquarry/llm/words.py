@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Separators of `[^\x20\x09-\x0D]+`.
@@ -24,9 +25,9 @@ SIGNS[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 2**64)
 _STEP = U64(0xD6E8FEB86659FD93)
+_TAIL = np.array([0, *(2 ** (8 * k) - 1 for k in range(1, 9))], U64)  # the first k of eight bytes
+LONG = 64
 
 
 @dataclass
@@ -58,23 +59,31 @@ class Words:
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(self.data[keep]))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of its bytes modulo 2**64, mixed."""
-        n = len(self.data)
-        power, back = _powers(n)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * power[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * back[self.starts])
-
-
-_cached: list[np.ndarray] = []
+    def coded(self) -> pa.DictionaryArray:
+        """Of each word the number of its distinct word, and these."""
+        return self.strings().dictionary_encode()
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _cached or len(_cached[0]) < n:
-        size = max(n, 1 << 18)
-        _cached[:] = [np.multiply.accumulate(np.full(size, x, U64)) for x in (_ODD, _INVERSE)]
-    return _cached[0], _cached[1]
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes."""
+        return self.hashes128()[0]
+
+    def hashes128(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each word's bytes: chains over groups of eight, each step a bijection (XXH3 beyond LONG bytes)."""
+        sizes = self.ends - self.starts
+        one, two = mix(sizes.astype(U64)), mix(sizes.astype(U64) ^ _STEP)
+        whole = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(whole) - 7, "<u8", whole, strides=(1,))
+        some = np.flatnonzero(sizes <= LONG)
+        for k in range(0, LONG, 8):
+            some = some[sizes[some] > k]
+            if not len(some):
+                break
+            part = eight[self.starts[some] + k] & _TAIL[np.minimum(sizes[some] - k, 8)]
+            one[some], two[some] = mix(one[some] ^ part), mix((two[some] + part) * _STEP)
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            x = xxhash.xxh3_128_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+            one[i], two[i] = x & 2**64 - 1, x >> 64
+        return one, two
 
 
 def mix(x: np.ndarray) -> np.ndarray:
