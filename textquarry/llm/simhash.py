@@ -43,6 +43,18 @@ MOST_BITS = 2
 GROUP = 1 << 16
 MOST_GROUPS = 20_000
 FAN = 8
+PART = 1 << 17  # shingles looked at together
+
+
+def majority(hashes: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text, which has n shingles, from (hash, number of text) of all shingles in parts."""
+    sums = np.zeros((len(n), 64), np.int32)
+    for value, doc in hashes:
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
+        if len(begin):
+            bits = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums[doc[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).view(np.int64)
 
 
 def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
@@ -50,30 +62,29 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     first, counts = words.first, words.counts
     size = np.where(counts > 0, np.minimum(counts, shingle), 0)  # words of a shingle
     n = np.where(counts > 0, counts - size + 1, 0)
-    doc = np.repeat(np.arange(len(counts)), n)
-    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[:-1][doc]
-    begins, ends = words.starts[start].tolist(), words.ends[start + size[doc] - 1].tolist()
-    data, digest = memoryview(words.data.tobytes()), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(begins, ends, strict=True)), U64, len(begins))
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    some = np.flatnonzero(n)
-    out = np.zeros((len(counts), 8), np.uint8)
-    if len(some):
-        sums = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > n[some][:, None], axis=1, bitorder="little")
-    return out.view("<u8").reshape(-1).view(np.int64)
+    before, data, digest = np.cumsum(n) - n, memoryview(words.data), xxhash.xxh64_intdigest
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, int(n.sum()), PART):
+            number = np.arange(at, min(at + PART, int(n.sum())))
+            doc = np.searchsorted(before + n, number, side="right")
+            start = number - before[doc] + first[:-1][doc]
+            begins, ends = words.starts[start].tolist(), words.ends[start + size[doc] - 1].tolist()
+            yield np.fromiter((digest(data[a:b], SEED) for a, b in zip(begins, ends, strict=True)), U64, len(begins)), doc
+
+    return majority(parts(), n)
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, row_key (a hash of doc_id and text), code (the fingerprint as a signed long)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
+    """Per row: doc_id, code (the fingerprint as a signed long)."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [_fingerprints(batch.column(2).slice(a, b - a), shingle) for a, b in slices(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], names=["doc_id", "row_key", "code"])
+            codes = [_fingerprints(batch.column(1).slice(a, b - a), shingle) for a, b in slices(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], names=["doc_id", "code"])
 
-    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, code bigint")
+    return docs.mapInArrow(run, "doc_id bigint, code bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -193,22 +204,19 @@ def _split(x: F.Column, bounds: list[int], at: int) -> F.Column:
     return F.when(x < bounds[mid], _split(x, bounds[:mid], at)).otherwise(_split(x, bounds[mid + 1 :], at + mid + 1))
 
 
+def roots(codes: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """(code, root) of distinct codes(code): root is a code that names the group."""
+    found = components(links(codes, most))
+    return codes.join(found.withColumnRenamed("node", "code"), "code", "left").select("code", F.coalesce("root", "code").alias("root"))
+
+
 def groups(documents: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Per row: doc_id, row_key, code, root (a code that names the group), component_id."""
+    """Per row: doc_id, code, root (a code that names the group), component_id."""
     rows = keep(fingerprints(documents))
     nodes = keep(rows.groupBy("code").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("code"), most))
-    named = nodes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least", F.coalesce("root", "code").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.drop("least").join(least, "root"), "code")
-
-
-def one_of_each(documents: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """The documents without all but one, that of the smallest doc_id, of each group."""
-    found = groups(documents, most)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("_row_key"))
-    keyed = documents.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(first, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    named = roots(nodes.select("code"), most)
+    least = named.join(nodes, "code").groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(least, "root"), "code")
 
 
 def digest(result: DataFrame) -> DataFrame:
