@@ -155,10 +155,44 @@ def test_contamination(spark, monkeypatch):
     assert len(none) == len(rows) and not any(r.contaminated for r in none)
 
 
+@pytest.mark.parametrize("most", [decontaminate.MOST_ITEM_BYTES, 30])
+def test_contamination_of_rows_with_equal_ids_and_sizes(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_ITEM_BYTES", most)
+    a, b, c = (" ".join(f"{x}{k}" for k in range(10)) for x in "abc")
+    rows = [(None, a), (None, b), (7, a), (7, c), (8, f"{b} {a}"), (9, None), (7, a)]
+    items = [(1, a), (2, b), (3, a), (None, b)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert same(decontaminate.contamination(docs, benchmark).collect(), plain_hits(rows, [i for i in items if i[0]]))
+    assert sorted((r.doc_id, r.text) for r in decontaminate.clean(docs, benchmark).where("text is not null").collect()) == [(7, c)]
+    assert decontaminate.clean(docs, benchmark).count() == 2
+
+
+def test_contamination_of_one_term(spark):
+    docs, benchmark = spark.createDataFrame([(1, "alpha alpha"), (2, "alpha " * 30_000)], "doc_id long, text string"), spark.createDataFrame([(1, "alpha")], "item_id long, text string")
+    assert same(decontaminate.contamination(docs, benchmark).collect(), [(1, 2, 2, 1, sha("1"), True), (2, 30_000, 30_000, 1, sha("1"), True)])
+    assert decontaminate.clean(docs, benchmark).count() == 0
+
+
+def test_contamination_by_many_equal_items(spark):
+    items = [(i, "alpha " * 12) for i in range(10_000)] + [(-1, "beta")]
+    rows = [(1, "alpha " * 50_000), (2, "beta gamma"), (3, "alpha")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert same(decontaminate.contamination(docs, benchmark).collect(), plain_hits(rows, items))
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red " + "x " * 30 + "blue"), (3, "blue"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(9, "blue red")], "item_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in decontaminate.proximity(decontaminate.build_index(docs), items, 10).collect()] == [(1, "9")]
+    rows = [(1, "red x x blue"), (2, "red " + "x " * 30 + "blue"), (3, "blue"), (4, None), *texts()[:30]]
+    items = [(9, "blue red"), (10, "nu XI pi nu"), (11, "nu"), (12, ""), (13, "absent nu")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = []
+    for doc_id, text in rows:
+        words = PLAIN.findall(lower(text))
+        for item_id, item in items:
+            wanted = set(PLAIN.findall(lower(item)))
+            if wanted and any(wanted <= set(words[k : k + 10]) for k in range(max(1, len(words) - 9))):
+                expected.append((doc_id, str(item_id)))
+    found = decontaminate.proximity(decontaminate.build_index(docs), benchmark, 10)
+    assert same(found.collect(), expected)
 
 
 # ---- 4: language identification -----------------------------------------------------------------------------
@@ -263,11 +297,6 @@ def test_simhash(spark):
     docs = documents(spark)
     assert same(simhash.digest(simhash.groups(docs)).collect(), plain_simhash(rows))
     assert simhash.groups(docs.limit(0)).count() == 0
-    firsts = {}
-    for i, _, c in plain_simhash(rows):
-        firsts[c] = i if i == c else firsts.get(c)
-    kept = simhash.one_of_each(docs).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(c for c in firsts if c is not None)
 
 
 @pytest.mark.parametrize("group", [7, 60])
@@ -338,7 +367,7 @@ def test_repeats(spark, block, monkeypatch):
 
 
 def test_without_repeats_keeps_columns(spark):
-    docs = documents(spark).drop("block")
+    docs = documents(spark).withColumns({c: F.lit(c) for c in ("n_words", "n_removed", "kept", "rest")})
     out = repeats.without_repeats(docs)
     assert out.columns == docs.columns
     expected = {i: removed for i, _, removed, _ in plain_repeats(texts())}
@@ -347,6 +376,24 @@ def test_without_repeats_keeps_columns(spark):
         assert (r.text == before[r.doc_id]) == (expected[r.doc_id] == 0)
 
 
+@pytest.mark.parametrize("block", [repeats.BLOCK_BYTES, 500])
+def test_repeats_know_words_by_all_their_letters(spark, block):
+    t = "a"
+    while len(t) < 4096:
+        t = t + t.translate(str.maketrans("ab", "ba"))
+    u, more = t.translate(str.maketrans("ab", "ba")), " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{t} {more}"), (2, f"{u} {more}"), (3, f"{u} {more}")]
+    assert same(repeats.digest(repeats.remove_repeats(documents(spark, rows), block_bytes=block)).collect(), plain_repeats(rows))
+
+
+def test_repeated_rows_are_spread(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, text)] * 300 + [(1, text[:100]), (9, "none of these")]
+    docs, size = repeats._dealt(documents(spark, rows).select("doc_id", "text"), 2000)
+    assert max(r["count"] for r in docs.groupBy("block").count().collect()) < 60
+    assert same(repeats.digest(repeats.remove_repeats(documents(spark, rows), block_bytes=2000)).collect(), plain_repeats(rows))
+
+
 def test_repeats_of_few_words(spark):
     rng = random.Random(8)
     for _ in range(3):
