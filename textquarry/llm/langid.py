@@ -8,8 +8,8 @@ place in the profile, PROFILE for one that is missing; the nearest language is p
 fall to the smaller n-gram, and the first language by code point.
 
 Training counts are sums over all training texts, combined in each task before the shuffle; the
-profiles, PROFILE n-grams a language, are the only thing broadcast. Languages are limited to
-MOST_LANGUAGES, which is checked.
+profiles, PROFILE n-grams of 8 bytes a language, are the only thing that goes to the driver and back. Long texts are counted in pieces
+cut at white space, so a task's memory holds a text, its distinct n-grams, and one piece's.
 
 The score is how much nearer the best profile is than the mean of the others: 1 - best / mean,
 between 0 and 1 (1 if there is one language only).
@@ -21,11 +21,13 @@ texts shorter than all of those have no limit.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if
 nothing was learned (`with_language` then keeps all texts with a letter); only the text is an input of a prediction; rows of null lang teach nothing;
-repeated rows count as often as they stand in training; an empty table gives an empty result.
+repeated rows count as often as they stand in training; an empty table gives an empty result; other columns aren't
+read, or kept whatever their names (`with_language`).
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -40,10 +42,13 @@ from .words import slices
 
 PROFILE = 400
 DOCUMENT = 400
-MOST_LANGUAGES = 1000
+SLICE = 1 << 18  # bytes of texts looked at together
+PIECE = 1 << 18  # characters of a long one
 MARGIN = 0.25
 _BITS = 21  # of a code point
+_SPACE = re.compile(r"\s")
 _letter: list[np.ndarray] = []
+_number: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
@@ -58,7 +63,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joined = "\0".join(x.replace("\0", " ") if x else "" for x in texts.to_pylist()) + "\0"
     code = np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32)
     end = code == 0
-    text = np.cumsum(end) - end
+    text = np.cumsum(end, dtype=np.int32) - end
     letter = _letters()[code]
     # every letter stays, and of a run of others the first; a text that begins with a letter gets one before it
     keep = letter.copy()
@@ -71,26 +76,67 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(code, at, 32), np.insert(text, at, text[at])
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text cut at white space, which no n-gram spans but by its own edges."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + PIECE)
+        to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
+
+
 def counted(texts: pa.Array, of: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, n-gram, its count) of all distinct n-grams of some texts, in order of owner and n-gram.
+    """(owner, n-gram, its count) of the n-grams of some texts.
 
-    The owner is the text's number, or of[number]. An n-gram is a number of its code points in base
-    2**21. With `most`, the most frequent of each owner, in order, and in place of counts their ranks.
+    The owner is the text's number, or of[number]; each distinct n-gram of a text comes once, in order of owner and n-gram,
+    but where `of` is given and a text is long. With `most`, the most frequent of each text, in order, and in place of counts their ranks.
+    """
+    long = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 4 * PIECE), False).to_numpy(zero_copy_only=False)).tolist()
+    if not long:
+        return _counted(texts, of, most)
+    own = np.arange(len(texts)) if of is None else of
+    parts, at = [], 0
+    for i in [*long, len(texts)]:
+        if i > at:
+            who, gram, n = _counted(texts.slice(at, i - at), None if of is None else of[at:i], most)
+            parts.append((who + at if of is None else who, gram, n))
+        if i < len(texts):
+            gram, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for piece in _pieces(texts[i].as_py()):
+                _, more, count = _counted(pa.array([piece]), None, None)
+                gram, at_ = np.unique(np.concatenate([gram, more]), return_inverse=True)
+                n = np.bincount(at_, np.concatenate([n, count]), len(gram)).astype(np.int64)
+            if most is not None:
+                best = np.lexsort((gram, -n))[:most]
+                gram, n = gram[best], np.arange(len(best))
+            parts.append((np.full(len(gram), own[i]), gram, n))
+        at = i + 1
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _counted(texts: pa.Array, of: np.ndarray | None, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As counted, of texts that are looked at together.
+
+    An n-gram is a number of its code points in base 2**21.
     """
     code, text = _words(texts)
     owner = text if of is None else of[text]
-    used = np.zeros(sys.maxunicode + 1, bool)
-    used[code] = True
-    alphabet = np.flatnonzero(used)
+    if not _number:
+        _number.append(np.zeros(sys.maxunicode + 1, np.uint64))
+    number = _number[0]  # all zero between calls
+    number[code] = 1
+    alphabet = np.flatnonzero(number)
+    number[alphabet] = np.arange(1, len(alphabet) + 1)
+    small, space = number[code], code == 32
+    number[alphabet] = 0
     bits = int(len(alphabet)).bit_length()
     high = int(owner.max(initial=0)).bit_length() + int(3 * len(code)).bit_length()
     if 3 * bits + high > 63 and len(texts) > 1 and of is None:  # many small texts of a large alphabet
         mid = len(texts) // 2
-        one, two = counted(texts.slice(0, mid), None, most), counted(texts.slice(mid), None, most)
+        one, two = _counted(texts.slice(0, mid), None, most), _counted(texts.slice(mid), None, most)
         return np.concatenate([one[0], two[0] + mid]), np.concatenate([one[1], two[1]]), np.concatenate([one[2], two[2]])
-    number = np.zeros(sys.maxunicode + 1, np.uint64)
-    number[alphabet] = np.arange(1, len(alphabet) + 1)
-    small, space, width = number[code], code == 32, np.uint64(3 * bits)
+    width = np.uint64(3 * bits)
     base = owner.astype(np.uint64) << width
     keys = [(base | small)[~space]]
     pair = (text[:-1] == text[1:]) & ~(space[:-1] & space[1:])
@@ -130,7 +176,7 @@ def train(documents: DataFrame, size: int = PROFILE) -> list[tuple[str, np.ndarr
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             code, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary
-            sums = [counted(batch.column(1).slice(a, b - a), code[a:b]) for a, b in slices(batch.column(1), 1 << 20)]
+            sums = [counted(batch.column(1).slice(a, b - a), code[a:b]) for a, b in slices(batch.column(1), SLICE)]
             if sums:
                 lang, gram, n = (np.concatenate(x) for x in zip(*sums, strict=True))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
@@ -138,9 +184,7 @@ def train(documents: DataFrame, size: int = PROFILE) -> list[tuple[str, np.ndarr
     sums = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = sums.withColumn("place", place).where(F.col("place") <= size)
-    found = best.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("grams")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    found = best.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("grams")).collect()
     return sorted((r.lang, np.array(r.grams, np.int64).view(np.uint64)) for r in found)
 
 
@@ -192,7 +236,7 @@ def predict(documents: DataFrame, profiles: list[tuple[str, np.ndarray]], size:
         for batch in batches:
             langs, scores = [], [np.zeros(0)]
             texts = pc.cast(batch.column(at), pa.string())
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, SLICE):
                 lang, score = model.predict(texts.slice(a, b - a), most)
                 langs += lang
                 scores.append(score)
@@ -218,7 +262,7 @@ def _limits(documents: DataFrame, model: _Profiles, most: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(0), 1 << 20):
+            for a, b in slices(batch.column(0), SLICE):
                 size, share = model.share(batch.column(0).slice(a, b - a), most)
                 yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(share)], names=["size", "share"])
 
@@ -242,7 +286,7 @@ def with_language(documents: DataFrame, size: int = PROFILE, most: int = DOCUMEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.cast(batch.column(at), pa.string())
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, SLICE):
                 n_grams, share = model.share(texts.slice(a, b - a), most)
                 yield batch.slice(a, b - a).filter(pa.array((n_grams >= 0) & (share <= limits[n_grams])))
 
