@@ -68,11 +68,11 @@ def test_models_are_probabilities_and_tell_held_out_urls_apart(spark):
 def plain_near(rows, cosine=0.9):
     good = {}
     for k, (_, v) in enumerate(rows):
-        if v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v):
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             x = np.array(v, np.float64)
             x = x / np.abs(x).max()
             good[k] = x / np.sqrt((x * x).sum())
-    near = lambda a, b: a in good and b in good and float(good[a] @ good[b]) >= cosine
+    near = lambda a, b: a in good and b in good and len(good[a]) == len(good[b]) and float(good[a] @ good[b]) >= cosine
     root = plain_components(range(len(rows)), near)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -88,6 +88,7 @@ def vectors():
     rows = [(i, [float(x) for x in np.float32(centers[i % 12] + rng.normal(size=8) * (0.05 + i % 5 * 0.12))]) for i in range(250)]
     rows += [(300 + i, rows[i][1]) for i in range(20)]  # copies
     rows += [(400, None), (401, [0.0] * 8), (402, [float("nan")] + [1.0] * 7), (403, [float("inf")] + [1.0] * 7), (404, []), (405, [1.0, 2.0]), (406, [None] + [1.0] * 7), (407, [2 * x for x in rows[0][1]]), (408, [-0.0] + [1e-30] * 7), (409, [0.0] + [1e-30] * 7), (None, rows[1][1]), (None, None)]
+    rows += [(500 + i, [float(x) for x in np.float32(rng.normal(size=3))]) for i in range(30)] + [(600, [1.0, 2.0]), (601, [2.0, 4.0]), (602, [5.0]), (603, [-1.0])]
     return rows
 
 
@@ -101,6 +102,29 @@ def test_near_vectors(spark):
     assert embeddings.near_duplicates(table.where("vec_id in (400, 401)")).count() == 2
 
 
+def test_cells_keep_clusters_apart(spark):
+    """Tasks per tile on vectors in clusters stay few as tiles grow in number; on random ones all pairs of tiles remain."""
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(32, 64))
+    for clustered in (True, False):
+        for tiles in (32, 128):
+            x = centers[np.arange(3200) % 32] + rng.normal(size=(3200, 64)) * 0.1 if clustered else rng.normal(size=(3200, 64))
+            nodes = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "node long, vector array<double>").repartition(4).cache()
+            placed, tasks = embeddings._tiles(nodes, 3200, embeddings.Turn(embeddings._moments(nodes, 64), 4, 0.9), 3200 // tiles)
+            assert placed.groupBy("part").count().agg(F.max("count")).first()[0] <= 2 * 3200 // tiles
+            n = tasks.select("task").distinct().count()
+            assert n <= 10 * tiles if clustered else n == tiles * (tiles + 1) // 2
+
+
+def test_a_hot_cluster_of_different_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(900, 16)) * 0.01
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(np.concatenate([x, rng.normal(size=(100, 16))]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in embeddings.near_duplicates(table, tile=128).collect()}
+    assert all(found[i].n_links >= 899 and found[i].component_id == 0 for i in range(900)) and len(found) == 1000
+
+
 # ---- 7: WARC ------------------------------------------------------------------------------------------------
 
 
