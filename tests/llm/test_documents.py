@@ -56,7 +56,19 @@ def test_tokens_as_by_encoding_anew(spark):
         assert r.text == text
         assert sum(r.tokens) == count(text), r.doc_id
         assert sum(r.chars) == len(text or "")
-    long = max(tokens.counts(docs).collect(), key=lambda r: r.n_pretokens)
+    counted = {r.doc_id: r for r in tokens.counts(docs).collect()}
+    for i, text, _ in rows:  # the query's own edits, by encoding anew
+        if text is not None:
+            n = len(text)
+            edited = text
+            for start, end, new in ((n // 2, n // 2 + 7, " edited §12 here"), (n // 5, n // 5 + 3, ""), (n + 16, n + 16, "  The end.")):
+                edited = edited[:start] + new + edited[end:]
+            assert (counted[i].n_tokens, counted[i].n_tokens_edited) == (count(text), count(edited)), i
+    text = "word and other, " * 25_000
+    more = spark.createDataFrame([(1, text, [(7, 7, "more 12 words " * 100), (200_000, 300_000, ""), (9, 9, "x")])], f"doc_id long, text string, edits {tokens.EDITS}")
+    once = tokens.apply_edits(tokens.build(more)).first()
+    assert sum(once.tokens) == count(once.text) and 300 <= once.encoded < 900
+    long = max(counted.values(), key=lambda r: r.n_pretokens)
     assert long.n_encoded < long.n_pretokens / 10  # only what the edits touch
     assert tokens.counts(docs.limit(0)).count() == 0
 

@@ -4,7 +4,8 @@ A byte-pair tokenizer cuts a text into pre-tokens by a pattern and encodes each
 count is a sum. `build` keeps, for each document, leaves of LEAF pre-tokens each and segment trees of their
 characters and tokens. `apply_edits` takes a document's edits in turn: it finds the first leaf by descending
 the tree of characters, encodes again from that leaf's start until a boundary of the new text meets a
-later leaf's, and updates the sums above the leaves that changed. Nothing else is encoded again.
+later leaf's, and updates the sums above the leaves that changed; where more leaves are needed than there were, the new ones are
+put between the others and the trees' sums are added up anew. Nothing else is encoded again, however long the edit.
 
 Why that is exact: the pattern looks at nothing before a pre-token and at most CONTEXT characters behind
 it, so pre-tokens that end that far before the edit stand, and after a boundary common to old and new
@@ -15,8 +16,8 @@ the driver from `ranks_path`, are sent to the executors (their size is that of t
 
 Defined results: a null text counts as empty and stays null unless it is edited; edits beyond the text's
 end are cut to it, and one whose start is after its end or null is left out; a null replacement deletes;
-rows are independent, so repeated rows, null ids and clashing names change nothing; an empty
-table gives an empty result.
+rows are independent, so repeated rows, null ids, ties and clashing names change nothing; an empty
+table gives an empty result; a text of any length is one row, whose pre-tokens (about 60 bytes each) a task holds one text at a time.
 """
 
 from __future__ import annotations
@@ -103,9 +104,12 @@ class Tree:
 def leaves(text: str, count: Counter, start: int = 0, size: int = LEAF) -> tuple[list[int], list[int], list[int]]:
     """Characters, pre-tokens and tokens of each leaf of the text."""
     pieces = _pattern().findall(text, start)
-    tokens = list(map(count.__getitem__, pieces))
-    parts = range(0, len(pieces), size)
-    return [sum(map(len, pieces[k : k + size])) for k in parts], [len(pieces[k : k + size]) for k in parts], [sum(tokens[k : k + size]) for k in parts]
+    return _leaves(list(map(len, pieces)), list(map(count.__getitem__, pieces)), size)
+
+
+def _leaves(chars: list[int], tokens: list[int], size: int = LEAF) -> tuple[list[int], list[int], list[int]]:
+    parts = range(0, len(chars), size)
+    return [sum(chars[k : k + size]) for k in parts], [len(chars[k : k + size]) for k in parts], [sum(tokens[k : k + size]) for k in parts]
 
 
 class Document:
@@ -128,29 +132,37 @@ class Document:
         while bound < end and last + 1 < len(self.pieces):
             last += 1
             bound += self.chars.sums[self.chars.width + last]
-        n = sum_ = 0
-        to = at
+        to, sizes, tokens = at, [], []
         for match in _pattern().finditer(text, at):
             to = match.end()
-            n, sum_ = n + 1, sum_ + count[match[0]]
+            sizes.append(to - match.start())
+            tokens.append(count[match[0]])
             while to > bound + moved and last + 1 < len(self.pieces):
                 last += 1
                 bound += self.chars.sums[self.chars.width + last]
             if to == bound + moved and bound >= end:
                 break
-        self.encoded += n
-        for k in range(first, last + 1):
-            own = k == first
-            self.chars.set(k, to - at if own else 0)
-            self.tokens.set(k, sum_ if own else 0)
-            self.pieces[k] = n if own else 0
-        if n > 8 * LEAF:
-            self._rebuild(count, again=False)
-
-    def _rebuild(self, count: Counter, again: bool = True) -> None:
+        self.encoded += len(sizes)
+        self._replace(first, last + 1, _leaves(sizes, tokens))
+
+    def _replace(self, first: int, end: int, new: tuple[list[int], list[int], list[int]]) -> None:
+        """Puts new leaves in the place of those from first to end: sums alone change, nothing is encoded."""
+        more = end - first - len(new[0])
+        if more >= 0:  # leaves that are no longer needed stay, empty
+            for k, (n, pieces, tokens) in enumerate(zip(*(x + [0] * more for x in new), strict=True), first):
+                self.chars.set(k, n)
+                self.tokens.set(k, tokens)
+                self.pieces[k] = pieces
+        else:
+            n = len(self.pieces)
+            chars, tokens = (tree.sums[tree.width :][:n] for tree in (self.chars, self.tokens))
+            self.chars, self.tokens = Tree([*chars[:first], *new[0], *chars[end:]]), Tree([*tokens[:first], *new[2], *tokens[end:]])
+            self.pieces[first:end] = new[1]
+
+    def _rebuild(self, count: Counter) -> None:
         chars, self.pieces, tokens = leaves(self.text or "", count)
         self.chars, self.tokens = Tree(chars), Tree(tokens)
-        self.encoded += sum(self.pieces) if again else 0
+        self.encoded += sum(self.pieces)
 
     def state(self) -> tuple[list[int], list[int], list[int]]:
         n = len(self.pieces)
