@@ -330,19 +330,56 @@ def test_gray_index_loses_no_link(spark, group):
 # ---- 9: licences --------------------------------------------------------------------------------------------
 
 
-def test_licences(spark, sf):
+#: Notices worded as none of the templates.
+WORDED = [
+    ("This package is available under the terms of the MIT licence", "mit"), ("Released under the terms of the Apache licence v2", "apache-2.0"), ("The software is provided as is, without warranty of any kind, express or implied, including the warranties of merchantability and noninfringement", "mit"),
+    ("Redistributions of source code must retain the above copyright notice and this list of conditions", "bsd"), ("This module may be used under the GPL version 3", "gpl-3.0"), ("The code here is under the GNU General Public License version 2", "gpl-2.0"), ("Images are licensed CC BY-SA 4.0 by their authors", "cc-by-sa"),
+    ("Text is available under the Creative Commons Attribution-ShareAlike License", "cc-by-sa"), ("Data is provided under CC-BY 4.0", "cc-by"), ("for non-commercial use under CC BY-NC 4.0", "cc-by-nc"), ("Dedicated to the public domain under CC0", "cc0"), ("This source is governed by a BSD-style license that can be found in the LICENSE file", "bsd"),
+    ("Mozilla Public License Version 2.0 applies to this file", "mpl-2.0"), ("Distributed with the GNU Lesser General Public License, LGPL v3", "lgpl"), ("See the GNU Affero General Public License version 3", "agpl-3.0"), ("(c) 2011 Example Press. All rights reserved worldwide.", "all-rights-reserved"), ("Made available by us under the Apache License 2.0, a copy of which is in the repository", "apache-2.0"),
+    ("permission notice shall be included in all copies of the software", "mit"), ("in compliance with the License; you may obtain a copy at apache.org", "apache-2.0"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+]
+OF_NO_FAMILY = ["Licensed under the Microsoft Public License", "Released under the terms of the Academic Free License", "Distributed under the SIL font license", "This code is available under the PostgreSQL Licence", "Licensed under the Beerware license", "Published under the Open Government Licence v3.0"]
+ORDINARY = ["The weather was fine and the harvest good this year.", "Permission to enter the building is given at the gate.", "His driving licence was taken away after the accident.", "The rights of the people shall be upheld.", "The Apache helicopter flew over the valley.", "She works at MIT in Boston and likes it.", "All reserved seats were taken by noon."]
+
+
+def plain_scan(model, text):
+    """Each line alone, features and probabilities by plain sums."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        p = model.probabilities(__import__("pyarrow").array([line]))[0]
+        best = max((x for x in zip(p, model.names, strict=True) if x[1] != "none"), key=lambda x: x[0])
+        if model.names[int(p.argmax())] == "none":
+            continue
+        like = licences.TEMPLATES.similarity(line, best[1])
+        sure = best[0] >= model.least and like >= model.confirm and best[1] != "unknown"
+        if sure or 1 - p[model.names.index("none")] > model.mass or licences.TEMPLATES.similarity(line, "unknown") >= licences.UNKNOWN:
+            out.append((k, best[1] if sure else "unknown"))
+    return out
+
+
+def test_licences_worded_otherwise(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = licences.fit(docs)
-    rows = [(k, f"Some plain line.\n{t}\n", f) for k, (f, t) in enumerate((f, t) for f, ts in licences.TEMPLATES.items() for t in ts)]
-    rows += [(900, None, None), (901, "", None), (902, "\n\n", None), (903, "The weather was fine and the harvest good this year.", None), (904, "x " * 50_000, None)]
-    found = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, found string"), model).collect()}
-    right = [f in {x.family for x in found[k].found} for k, _, f in rows if f]
-    assert sum(right) / len(right) > 0.9
-    assert [found[k].n_paragraphs for k in (900, 901, 902)] == [0, 1, 3]
-    assert not any(found[k].found for k in (900, 901, 902, 903, 904))
-    unknown = spark.createDataFrame([(1, "This material is licensed under special terms of a custom licence agreement.")], "doc_id long, text string")
-    assert {x.family for x in licences.scan(unknown, model).first().found} <= {"unknown"}
-    assert licences.licences(docs).count() == docs.count()
+    rows = [(k, f"Some plain line.\n{t}\n") for k, t in enumerate([t for t, _ in WORDED] + OF_NO_FAMILY + ORDINARY)]
+    rows += [(900, None), (901, ""), (902, "\n\n"), (904, "x " * 50_000), (904, "x " * 50_000), (None, WORDED[0][0])]
+    found = {}
+    for r in licences.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, found string"), model).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    families = {k: {x.family for x in r[0].found} for k, r in found.items()}
+    assert sum(families[k] == {f} for k, (_, f) in enumerate(WORDED)) >= 19
+    assert sum(families[len(WORDED) + k] == {"unknown"} for k in range(len(OF_NO_FAMILY))) >= 5
+    assert not any(families[len(WORDED) + len(OF_NO_FAMILY) + k] for k in range(len(ORDINARY)))
+    assert [found[k][0].n_paragraphs for k in (900, 901, 902)] == [0, 1, 3] and len(found[904]) == 2
+    assert families[None] == {"mit"} and not any(families[k] for k in (900, 901, 902, 904))
+    for k, text in rows:
+        assert [(x.paragraph, x.family) for x in found[k][0].found] == (plain_scan(model, text) if text is not None else [])
+
+
+def test_licences_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+    expected = {r.doc_id: ",".join(sorted({f for line in (r.text or "").split("\n") for x, f in lines.items() if x in line})) for r in docs.collect()}
+    assert {r.doc_id: r.licences for r in licences.licences(docs).collect()} == expected
     assert licences.licences(docs.limit(0)).count() == 0
 
 

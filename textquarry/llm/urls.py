@@ -13,7 +13,8 @@ from: where the mean of both classes' error rates is least, read from a histogra
 Defined results: a url that is null or has no `://` has an empty host and path, no rule, and is
 judged as what it is (null: the empty string); if either class has no url to learn from, everything
 without a rule is allowed; repeated rows are judged alike, and count as often as they stand;
-digits count as one character, and upper case as lower.
+digits count as one character, and upper case as lower; scores at the threshold are allowed; an empty table gives an empty result; only
+page_id and url are read, so further columns can't clash; a url of any length is taken whole.
 """
 
 from __future__ import annotations

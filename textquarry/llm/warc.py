@@ -15,7 +15,8 @@ lost or repeated task has left is never read.
 
 Defined results: a null payload is empty; payloads smaller than `least` bytes are all responses; a
 null page_id is never referred to, and rows that only share a payload with such rows are responses, as
-are all rows of the largest page_id; a null url gives no target header; an empty table gives none.
+are all rows of the largest page_id (repeated rows, that is); a null url gives no target header; an empty table gives none; other
+columns aren't read. A payload of any length is one record, which a task holds a few times over.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = AR
 
 
 def _each_archive(archives: DataFrame) -> DataFrame:
-    return archives.repartition(max(1, archives.count()), "path") if archives.count() else archives
+    """A task for each archive."""
+    return archives.repartition(max(1, archives.count()))
 
 
 def normalise(archives: DataFrame, level: int = LEVEL) -> DataFrame:
