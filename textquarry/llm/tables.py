@@ -58,6 +58,11 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(path)
 
 
+def few_rows_a_batch(spark: SparkSession, rows: int = 2000) -> None:
+    """Sets how many rows Python gets at a time: texts are long, and both sides hold a batch or two."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def last_kept() -> str:
     return _written[-1]
 
@@ -67,17 +72,26 @@ def row_key(documents: DataFrame) -> list[Column]:
     return [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(7), "text", "doc_id")]
 
 
+class Marks:
+    """A bitmap of at most 2**MOST_BITS bits that holds keys, for finding rows that are surely of none."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        bits = self.bits = min(MOST_BITS, max(10, (16 * keys.count()).bit_length()))
+        words = keys.select(F.shiftrightunsigned(key, 64 - bits).alias("spot")).groupBy(F.expr("spot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
+        self.marks = np.zeros(1 << (bits - 6), np.uint64)
+        self.marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def has(self, keys: pa.Array) -> np.ndarray:
+        place = keys.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.marks[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def sieve(documents: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
     """documents in two parts: rows that are surely not of keys(k1, k2), and the others with their keys, whose names come last.
 
-    A bitmap of at most 2**MOST_BITS bits tells them apart, so that texts that needn't be looked up aren't
-    shuffled; a full one leaves every row to the second part.
+    A bitmap tells them apart, so that texts that needn't be looked up aren't shuffled; a full one leaves every row to the second part.
     """
-    bits = min(MOST_BITS, max(10, (16 * keys.count()).bit_length()))
-    spot = F.shiftrightunsigned("k1", 64 - bits)
-    words = keys.select(spot.alias("spot")).groupBy(F.expr("spot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
-    marks = np.zeros(1 << (bits - 6), np.uint64)
-    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    marks = Marks(keys, "k1")
     k1, k2 = fresh(documents.columns, "k1", "k2")
     keyed = documents.select("*", *(c.alias(n) for c, n in zip(row_key(documents), (k1, k2), strict=True)))
     at = keyed.columns.index(k1)
@@ -85,9 +99,7 @@ def sieve(documents: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame,
     def part(hit: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                place = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
-                marked = (marks[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                yield batch.filter(pa.array(marked == hit))
+                yield batch.filter(pa.array(marks.has(batch.column(at)) == hit))
 
         return keyed.mapInArrow(run, keyed.schema)
 
