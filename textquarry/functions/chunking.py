@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,16 @@ def structural_chunks(sections: DataFrame, most: int = 2000, least: int = 100) -
     return sections.where("text is not null and text <> ''").select("*", dropped.alias("dropped_chars"), F.posexplode(chunks).alias("chunk_index", "chunk_text"))
 
 
+def whole_sections(sections: DataFrame) -> DataFrame:
+    """All columns of sections(text, ...), then chunk_index 0 and chunk_text, the stripped text; none for an empty one."""
+    return sections.withColumn("chunk_index", F.lit(0)).withColumn("chunk_text", F.trim("text")).where("chunk_text <> ''")
+
+
+def with_totals(chunks: DataFrame, *keys: str) -> DataFrame:
+    """chunks with total_chunks, how many there are of the same keys."""
+    return chunks.withColumn("total_chunks", F.count("*").over(Window.partitionBy(*keys)).cast("int"))
+
+
 #: (characters, overlap, marks that end a chunk, how far behind the start a mark must be, how far before the
 #: end it is looked for (0: anywhere), characters of the text used, chunks at most); 0 is no limit.
 PRESETS = {

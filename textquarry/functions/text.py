@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import rules
+from . import intake, rules
 
 
 def col(x: Column | str) -> Column:
@@ -102,9 +102,19 @@ def structure(section: Column | str, citation: Column | str, hierarchical: bool
 
 
 def chunk_citation(section: Column | str, text: Column | str) -> Column:
-    """`8 CFR § N` with the first marker among the text's first 100 characters (C11)."""
+    """`8 CFR § N` with the first marker among the text's first 100 characters; some starts have citations of their own (C11)."""
     mark = F.regexp_extract(F.left(col(text), F.lit(100)), r"(\([a-zA-Z0-9]{1,4}\))", 1)
-    return F.concat(F.lit("8 CFR § "), col(section), mark)
+    out = F.concat(F.lit("8 CFR § "), col(section), mark)
+    begin = F.regexp_replace(col(text), r"(?U)^\s+", "")
+    for number, start, citation in intake.CANONICAL:
+        out = F.when((col(section) == number) & begin.startswith(start), citation).otherwise(out)
+    return out
+
+
+def words_held(text: Column, words: dict[str, list[str]]) -> Column:
+    """Names of the dictionary with a word in the text as it is, in the dictionary's order."""
+    table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ws)).alias("words")) for name, ws in words.items()))
+    return F.transform(F.filter(table, lambda t: F.exists(t["words"], lambda w: F.contains(text, w))), lambda t: t["name"])
 
 
 def tags(text: Column, words: dict[str, list[str]], whole_words: bool = False) -> Column:
@@ -113,16 +123,15 @@ def tags(text: Column, words: dict[str, list[str]], whole_words: bool = False) -
     The words are raw substrings; `whole_words` asks for no letter or digit on either side.
     """
     low = F.lower(text)
-    if whole_words:
-        hit = lambda w: low.rlike(r"(?<![\p{L}\p{N}])" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in w) + r"(?![\p{L}\p{N}])")
-    else:
-        hit = low.contains
+    if not whole_words:
+        return F.element_at(F.transform(F.array(low), lambda t: words_held(t, words)), 1)  # the text is made once
+    hit = lambda w: low.rlike(r"(?<![\p{L}\p{N}])" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in w) + r"(?![\p{L}\p{N}])")
     return F.filter(F.array(*(F.when(either([hit(w) for w in ws]), F.lit(name)) for name, ws in words.items())), lambda x: x.isNotNull())
 
 
 def risk(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(has_any(low, rules.RISK_WORDS["HIGH"]), "HIGH").when(has_any(low, rules.RISK_WORDS["MEDIUM"]), "MEDIUM").otherwise("LOW")
+    levels = tags(text, rules.RISK_WORDS)
+    return F.when(F.array_contains(levels, "HIGH"), "HIGH").when(F.array_contains(levels, "MEDIUM"), "MEDIUM").otherwise("LOW")
 
 
 # Answers of a fixed form: five headers, each on a line of its own.

@@ -34,6 +34,13 @@ def client_turns(turns: DataFrame, n: int = 4, user: int = 400, assistant: int =
     return rows.withColumn("_n", place).where(F.col("_n") <= n).select("conv_id", "turn", "role", cut.alias("content"))
 
 
+def sessions(turns: DataFrame) -> DataFrame:
+    """(conv_id, title, updated, n_turns, place): each conversation once, the last touched first (W6). The title is its first question's start."""
+    asked = F.min_by(F.when(F.lower(stripped("role")) == "user", F.left(stripped("text"), F.lit(60))), F.when(F.lower(stripped("role")) == "user", F.struct("turn", "text")))
+    rows = turns.groupBy("conv_id").agg(asked.alias("title"), F.max("turn").alias("updated"), F.count("*").alias("n_turns"))
+    return rows
+
+
 def follow_up(message: Column | str) -> Column:
     """Whether a message seems to need what was said before (Q9)."""
     x = stripped(message)

@@ -2,13 +2,14 @@
 
 versions(id, version_name, status, started_at, completed_at, activated_at) is small and broadcast where
 Spark finds it so; chunks(chunk_id, version_id, is_active, ...) are rewritten in one pass without a shuffle of their text.
-`publish` makes the new state visible by one small pointer file written last.
+`publish` makes the new state visible by one small pointer, written last.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,8 +100,46 @@ def job_rows(jobs: DataFrame, name: str, status: str, added: int = 0, updated: i
     return jobs.unionByName(row)
 
 
+def first_seen(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """(keys, number): of each key the least number, by which later rows refer to it."""
+    return rows.groupBy(*keys).agg(F.min(number).alias(number))
+
+
+def ingest(stored: dict[str, DataFrame], arriving: list[tuple[str, DataFrame, list[str]]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What to append to each table, and (step, table_name, n_arriving, n_new, n_reused): tables from parent to child, each with its keys."""
+    new, reports = {}, []
+    for step, (name, rows, keys) in enumerate(arriving, 1):
+        new[name], counts = insert_new(stored[name], rows, keys)
+        reports.append(counts.select(F.lit(step).alias("step"), F.lit(name).alias("table_name"), "n_arriving", "n_new", "n_reused"))
+    return new, reduce(DataFrame.unionByName, reports)
+
+
+def cleared(rows: DataFrame, name: str, execute: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, none once executed, and (table_name, n_rows, n_cleared, n_left); without `execute` nothing is cleared."""
+    left = rows.limit(0) if execute else rows
+    gone = F.col("n_rows") if execute else F.lit(0).cast("long")
+    report = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", gone.alias("n_cleared"), (F.col("n_rows") - gone).alias("n_left"))
+    return left, report
+
+
+def insert_plan(arriving: DataFrame, stored: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row of what an insert would do: rows that are new, that are there, that can't be inserted for want of a text."""
+    empty = F.coalesce(F.trim(text), F.lit("")) == ""
+    seen = arriving.join(stored.select(*keys, F.lit(True).alias("_there")).distinct(), keys, "left")
+    return seen.agg(F.count_if(~empty & F.col("_there").isNull()).alias("n_insert"), F.count_if(~empty & F.col("_there").isNotNull()).alias("n_there"), F.count_if(empty).alias("n_empty"))
+
+
+def embed_plan(chunks: DataFrame, vectors: DataFrame, batch: int) -> DataFrame:
+    """(batch_no, first_id, last_id, n) of chunks without a vector, in order of chunk_id: a run resumes at the first of them.
+
+    Places come from counts of ranges of `batch` ids, so no task sorts all ids.
+    """
+    missing = chunks.join(vectors.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return missing.groupBy(F.floor(F.col("chunk_id") / batch).alias("batch_no")).agg(F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"), F.count("*").alias("n"))
+
+
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """Writes a snapshot of several tables, then the pointer that makes it the current one."""
+    """Writes a snapshot of several tables, then a new pointer to it; earlier pointers stay, so a reader always finds one."""
     snapshot = f"snapshot-{uuid.uuid4().hex}"
     spark = None
     for name, df in tables.items():
@@ -108,11 +147,12 @@ def publish(tables: dict[str, DataFrame], folder: str) -> str:
         spark = df.sparkSession
     if spark is None:
         raise ValueError("no table to publish")
-    spark.createDataFrame([(json.dumps({"snapshot": snapshot, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    pointer = spark.createDataFrame([(snapshot, sorted(tables), time.time_ns())], "snapshot string, tables array<string>, at long")
+    pointer.coalesce(1).write.mode("append").json(f"{folder}/pointers")  # a file is there when its job has been committed
     return snapshot
 
 
 def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the current snapshot."""
-    said = json.loads(spark.read.text(f"{folder}/current").first().value)
-    return {t: spark.read.parquet(f"{folder}/{said['snapshot']}/{t}") for t in said["tables"]}
+    """The tables of the newest snapshot."""
+    said = spark.read.schema("snapshot string, tables array<string>, at long").json(f"{folder}/pointers").orderBy(F.desc("at"), "snapshot").first()
+    return {t: spark.read.parquet(f"{folder}/{said.snapshot}/{t}") for t in said.tables}

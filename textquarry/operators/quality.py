@@ -92,6 +92,51 @@ def completeness(manifest: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_expected"), F.count("there").alias("n_found")).withColumn("percent", F.round(100 * F.col("n_found") / F.col("n_expected"), 2))
 
 
+def missing_sample(manifest: DataFrame, files: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """The first few of the manifest's items that aren't there, in order (E12): a report of at most `most` rows."""
+    return manifest.select(key).distinct().join(files.select(key).distinct(), key, "left_anti").orderBy(key).limit(most)
+
+
+def insert_checks(sections: DataFrame, chunks: DataFrame, expected: DataFrame) -> DataFrame:
+    """Checks after an insert of sections(section) and chunks(section, is_active, embedding) against expected(section)."""
+    want, there = expected.select("section").distinct(), sections.select("section").distinct()
+    first = chunks.groupBy("section").agg(F.count_if("is_active").alias("n_active"), F.count("embedding").alias("n_embedded"))
+    rows = want.withColumn("wanted", F.lit(1)).join(there.withColumn("there", F.lit(1)), "section", "full").join(first.withColumn("chunked", F.lit(1)), "section", "left")
+    return checked(rows, [
+        ("missing_sections", F.count_if(F.col("there").isNull()), "=", 0),
+        ("unexpected_sections", F.count_if(F.col("wanted").isNull()), "=", 0),
+        ("sections_without_chunks", F.count_if(F.col("wanted").isNotNull() & F.col("chunked").isNull()), "=", 0),
+        ("active_too_early", F.coalesce(F.sum("n_active"), F.lit(0)), "=", 0),
+        ("embedded_too_early", F.coalesce(F.sum("n_embedded"), F.lit(0)), "=", 0),
+    ])
+
+
+def readiness(chunks: DataFrame, width: int, visible: int, citations: list[str], n_logged: int = 0) -> DataFrame:
+    """Gates before retrieval is opened (E13), over chunks(citation, embedding, is_active, version_name, status)."""
+    seen = F.coalesce(F.col("is_active") & (F.col("status") == "active"), F.lit(False))
+    held = [F.max(F.when(seen & (F.col("citation") == c), 1).otherwise(0)) for c in citations]
+    return checked(chunks, [
+        ("active_versions", F.count_distinct(F.when(F.col("status") == "active", F.col("version_name"))), "=", 1),
+        ("visible_chunks", F.count_if(seen), "=", visible),
+        ("visible_other_width", F.count_if(F.coalesce(seen & (F.coalesce(F.size("embedding"), F.lit(-1)) != width), F.lit(False))), "=", 0),
+        ("missing_citations", F.lit(len(citations)) - sum(held, F.lit(0)), "=", 0),
+        ("logged_answers", F.max(F.lit(n_logged)), "=", 0),
+    ])
+
+
+def handoff(chunks: DataFrame, least: int) -> DataFrame:
+    """Checks before a corpus is handed over (E5): enough chunks active and embedded, none of a sample, none of case law."""
+    ready = F.coalesce(F.col("is_active") & F.col("embedding").isNotNull() & (F.col("status") == "active"), F.lit(False))
+    low = F.lower(F.coalesce("version_name", F.lit("")))
+    return checked(chunks, [("active_embedded", F.count_if(ready), ">=", least), ("sample_active", F.count_if(ready & low.contains("sample")), "=", 0), ("case_law_active", F.count_if(ready & low.startswith("bia")), "=", 0)])
+
+
+def summary(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, n, n_chars, mean_chars, longest)."""
+    size = F.length(text)
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("n_chars"), F.round(F.avg(size), 4).alias("mean_chars"), F.max(size).alias("longest"))
+
+
 def counts_by_parent(parents: DataFrame, children: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
     """Every parent with its number of children and of those that meet each condition; 0 for none."""
     sums = children.groupBy(key).agg(F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in conditions.items()))

@@ -54,11 +54,20 @@ def few(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 15, metric: str = "l2") -> DataFrame:
     """(qid, chunk_id, distance, rank) of chunks(chunk_id, embedding), nearest to queries(qid, vector) first.
 
-    Chunks without a vector are left out, and pairs whose distance is null; ties fall to the smaller chunk_id.
+    Chunks without a vector are left out, and pairs whose distance is null; ties fall to the smaller chunk_id. Queries
+    beyond MOST_QUERIES are dealt into blocks by a hash of qid, each broadcast alone.
     """
-    rows = chunks.where("embedding is not null").select("chunk_id", "embedding").crossJoin(few(queries.select("qid", "vector")))
-    rows = rows.select("qid", "chunk_id", F.round(distance("embedding", "vector", metric), 6).alias("distance")).where("distance is not null")
-    return top(rows, [F.col("distance"), F.col("chunk_id")], k)
+    asked = queries.select("qid", "vector")
+    n = asked.limit(MOST_QUERIES + 1).count()
+    blocks = -(-asked.count() * 2 // MOST_QUERIES) if n > MOST_QUERIES else 1
+    found = None
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked
+        rows = chunks.where("embedding is not null").select("chunk_id", "embedding").crossJoin(F.broadcast(some))
+        rows = rows.select("qid", "chunk_id", F.round(distance("embedding", "vector", metric), 6).alias("distance")).where("distance is not null")
+        part = top(rows, [F.col("distance"), F.col("chunk_id")], k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def with_snippet(ranked: DataFrame, chunks: DataFrame, characters: int = 500) -> DataFrame:
