@@ -46,15 +46,19 @@ FAN = 8
 PART = 1 << 17  # shingles looked at together
 
 
-def majority(hashes: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray) -> np.ndarray:
+def majority(hashes: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, bits: int = 64) -> np.ndarray:
     """The fingerprint of each text, which has n shingles, from (hash, number of text) of all shingles in parts."""
-    sums = np.zeros((len(n), 64), np.int32)
+    width = -(-bits // 8)
+    sums = np.zeros((len(n), 8 * width), np.int32)
     for value, doc in hashes:
         begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
         if len(begin):
-            bits = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums[doc[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).view(np.int64)
+            each = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], axis=1, bitorder="little")
+            sums[doc[begin]] += np.add.reduceat(each, begin, axis=0, dtype=np.int32)
+    out = np.zeros((len(n), 8), np.uint8)
+    out[:, :width] = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little")
+    codes = out.view("<u8").reshape(-1)
+    return (codes & U64(2**bits - 1)).view(np.int64)
 
 
 def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
