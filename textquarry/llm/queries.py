@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, langid, licences, mixing, repeats, simhash, tokens, urls, warc
+from . import centroids, decontaminate, embeddings, langid, licences, mixing, repeats, simhash, tokens, urls, variants, warc
 from .tables import table
 
 
@@ -50,6 +50,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op9_licences, op10_repeats)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op9_licences, op10_repeats, op11_centroids, op13_variants)}
+
+ORACLE_SQL: dict[str, str] = {"op11_centroids": centroids.ORACLE_SQL}

@@ -33,13 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage."""
+def keep_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written as Parquet to the shared folder and read back, which cuts its lineage; and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    return keep_at(df)[0]
 
 
 def settle(make: Callable[[], DataFrame]) -> DataFrame:
