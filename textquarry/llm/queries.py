@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, embeddings, langid, licences, mixing, repeats, simhash, tokens, urls, variants, warc
+from . import centroids, decontaminate, embeddings, langid, licences, mixing, repeats, secret_scan, simhash, tokens, urls, variants, warc
 from .tables import table
 
 
@@ -54,10 +54,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(documents, secret_scan.fit(documents)))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op9_licences, op10_repeats, op11_centroids, op13_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_mixing, op3_decontaminate, op4_langid, op5_urls, op6_embeddings, op7_warc, op8_simhash, op9_licences, op10_repeats, op11_centroids, op12_secrets, op13_variants)}
 
 ORACLE_SQL: dict[str, str] = {"op11_centroids": centroids.ORACLE_SQL}
