@@ -68,8 +68,8 @@ def test_secrets_and_lookalikes_that_were_not_learned(spark, scanner):
         before, body, after = secret_scan.made_finding(rng) if i % 2 else secret_scan.made_lookalike(rng, words)
         rows.append((i, f"We met at noon near the old bridge. {before}{body}{after} Nobody had seen them since."))
     found = {r.doc_id: r.findings for r in secret_scan.scan(documents(spark, rows), scanner).collect()}
-    assert sum(bool(found[i]) for i in range(1, 600, 2)) >= 280
-    assert sum(any(f.kind == "model" for f in found[i]) for i in range(0, 600, 2)) <= 9
+    assert sum(bool(found[i]) for i in range(1, 600, 2)) >= 291
+    assert sum(any(f.kind == "model" for f in found[i]) for i in range(0, 600, 2)) <= 6
     by_hand = {"export X=ghp_16C7e42F292c6912E7710c838347Ae178B4a": True, "key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": True, "order number 1234567890123456": False, "the file is report-final-v2-2024.pdf": False, "call +49-151-23456789": False}
     for r in secret_scan.scan(documents(spark, list(enumerate(by_hand))), scanner).collect():
         assert bool(r.findings) == list(by_hand.values())[r.doc_id], list(by_hand)[r.doc_id]
@@ -91,7 +91,7 @@ def test_thresholds_hold_the_recall_they_are_set_for():
     held = labels & (hashes // 5 % 2 == 1)
     for s in (1, 2, 3):
         own = held & (shapes == s)
-        assert secret_scan.RECALL - 0.01 <= (p[own] >= scan.thresholds[s] - 1e-6).mean() <= secret_scan.RECALL + 0.01
+        assert (p[own] >= scan.thresholds[s] - 1e-6).mean() >= secret_scan.RECALL - 0.001
     assert scan.thresholds[0] > 1  # nothing of that kind to find
 
 
