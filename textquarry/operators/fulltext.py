@@ -1,10 +1,8 @@
 """Full-text search over a table of postings, made once when chunks are written.
 
-postings(chunk_id, lexeme, pos, weight) is what an inverted index holds; bucketed by lexeme it serves a
-query by its few lexemes. Lexemes asked for are broadcast up to MOST_LEXEMES, so the postings
-are filtered where they lie, and a chunk's matching postings are aggregated with partial sums.
-
-Ranking is semantic parity with a database's cover density, not its floats: see cover_density.
+postings(chunk_id, lexeme, pos, weight) are words as rows; search.Index stores them, packed and stemmed, and what
+is searched here goes through the same conjunctive search and the same covers. Ranking is semantic parity with a database's cover
+density, not its floats.
 """
 
 from __future__ import annotations
@@ -13,12 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, stems
+from ..functions.stems import stem
 from ..functions.text import either, matches
+from . import search
 from .vector import top
 
 #: Weights of the classes of fields.
-MOST_LEXEMES = 100_000
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 WORD = r"[\p{L}\p{N}]+"
 
@@ -40,82 +39,39 @@ def postings(chunks: DataFrame, fields: dict[str, str | Column], stem: bool = Fa
     rest, base = [], F.lit(0)
     for weight, text in fields.items():
         words = lexemes(text, stop=False)
-        rest.append(_placed(stemmed(words) if stem else words, base, weight))
-        base = base + F.size(words) + 1  # of the words as they are: a lambda can't hold a Python function
+        rest.append(_placed(words, base, weight))
+        base = base + F.size(words) + 1
     stop = rules.STOP_WORDS
-    return chunks.select("chunk_id", F.explode(F.filter(F.concat(*rest), lambda p: ~p["lexeme"].isin(stop))).alias("p")).select("chunk_id", "p.*")
+    rows = chunks.select("chunk_id", F.explode(F.filter(F.concat(*rest), lambda p: ~p["lexeme"].isin(stop))).alias("p")).select("chunk_id", "p.*")
+    return rows.join(stems.dictionary(rows), "lexeme").select("chunk_id", F.col("stem").alias("lexeme"), "pos", "weight") if stem else rows
 
 
 def _placed(words: Column, base: Column, weight: str) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (base + i + 1).cast("int").alias("pos"), F.lit(weight).alias("weight")))
 
 
-def _asked(queries: DataFrame, stem: bool) -> DataFrame:
-    words = F.array_distinct(lexemes("query", stem))
-    return queries.select("qid", F.explode(words).alias("lexeme"), F.size(words).alias("n_lexemes"))
-
+def packed(posted: DataFrame) -> search.Lists:
+    """posted(chunk_id, lexeme, pos, weight) as a search reads it, not stored."""
+    code = F.expr("instr('ABCD', weight) - 1")
+    return search.Lists(posted.groupBy(F.col("lexeme").alias("stem"), "chunk_id").agg(F.sort_array(F.collect_list((F.col("pos") * 4 + code).cast("int"))).alias("hits")))
 
-def _beside(asked: DataFrame) -> DataFrame:
-    """asked, to be broadcast up to MOST_LEXEMES rows; beyond, the join on lexeme is an ordinary shuffled one."""
-    return F.broadcast(asked) if asked.limit(MOST_LEXEMES + 1).count() <= MOST_LEXEMES else asked
 
+def keyword_matches(posted: DataFrame | search.Lists, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(qid, chunk_id, kw_score): chunks that have every lexeme of the query, scored by covers; see search."""
+    return search.keyword_matches(posted, queries) if isinstance(posted, search.Lists) else search.cover_scores(search.conjunctive(packed(posted), search.asked_stems(queries, stem)))
 
-def keyword_matches(posted: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
-    """(qid, chunk_id, kw_score): chunks that have every lexeme of the query; the score adds up weighted term frequencies."""
-    asked = _beside(_asked(queries, stem))
-    weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))[F.col("weight")]
-    by_word = posted.join(asked, "lexeme").groupBy("qid", "chunk_id", "n_lexemes", "lexeme").agg(F.sum(weight).alias("tf"))
-    whole = by_word.groupBy("qid", "chunk_id", "n_lexemes").agg(F.count("*").alias("n"), F.sum(F.col("tf") / (1 + F.col("tf"))).alias("s"))
-    return whole.where("n = n_lexemes").select("qid", "chunk_id", F.round(F.col("s") / F.col("n_lexemes"), 6).alias("kw_score"))
 
-
-def keyword_topk(posted: DataFrame, queries: DataFrame, k: int = 15, stem: bool = False) -> DataFrame:
+def keyword_topk(posted: DataFrame | search.Lists, queries: DataFrame, k: int = 15, stem: bool = False) -> DataFrame:
     return top(keyword_matches(posted, queries, stem), [F.desc("kw_score"), F.col("chunk_id")], k)
 
 
-def phrase_topk(posted: DataFrame, phrases: DataFrame, k: int = 12, stem: bool = False) -> DataFrame:
-    """(qid, chunk_id, kw_score, rank): chunks where the phrase's words stand as in the phrase; the score counts the places.
-
-    A word at pos that is the phrase's number n speaks for a start at pos - n: a start that all
-    words speak for is a place. Only equality joins, whatever the phrase's length.
-    """
-    words = lexemes("query", stem, stop=False)
-    own = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), i.alias("at"))), lambda p: ~p["lexeme"].isin(rules.STOP_WORDS))
-    asked = phrases.select("qid", F.size(own).alias("n_lexemes"), F.explode(own).alias("p")).select("qid", "n_lexemes", "p.*")
-    starts = posted.join(_beside(asked), "lexeme").groupBy("qid", "chunk_id", "n_lexemes", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
-    found = starts.where("n = n_lexemes").groupBy("qid", "chunk_id").agg(F.count("*").cast("double").alias("kw_score"))
+def phrase_topk(posted: DataFrame | search.Lists, phrases: DataFrame, k: int = 12, stem: bool = False) -> DataFrame:
+    """(qid, chunk_id, kw_score, rank): chunks where the phrase's words stand as in the phrase; the score counts the places."""
+    found = search.phrase_matches(posted, phrases) if isinstance(posted, search.Lists) else search.phrase_matches(packed(posted), phrases, stem)
     return top(found, [F.desc("kw_score"), F.col("chunk_id")], k)
 
 
-def cover_density(posted: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
-    """(qid, chunk_id, kw_score) by covers: stretches that hold every lexeme and none smaller within.
-
-    Each cover gives its mean weight divided by the number of words in it beyond the lexemes, plus one.
-    """
-    asked = _beside(_asked(queries, stem))
-    hits = posted.join(asked, "lexeme").groupBy("qid", "chunk_id", "n_lexemes").agg(F.array_sort(F.collect_list(F.struct("pos", "lexeme", "weight"))).alias("hits"), F.count_distinct("lexeme").alias("n"))
-
-    @F.pandas_udf("double")
-    def score(rows: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([_covers([(h["pos"], h["lexeme"], WEIGHTS[h["weight"]]) for h in r], int(n)) for r, n in zip(rows, wanted, strict=True)], dtype="float64")
-
-    return hits.where("n = n_lexemes").select("qid", "chunk_id", F.round(score("hits", "n_lexemes"), 6).alias("kw_score"))
-
-
-def _covers(hits: list[tuple[int, str, float]], n: int) -> float:
-    last: dict[str, int] = {}
-    total, seen = 0.0, -1
-    for k, (_, word, _) in enumerate(hits):
-        last[word] = k
-        if len(last) < n:
-            continue
-        first = min(last.values())
-        if first > seen:  # else the cover holds the one before
-            part = hits[first : k + 1]
-            spread = part[-1][0] - part[0][0] + 1
-            total += sum(w for _, _, w in part) / len(part) / (1 + max(0, spread - n))
-            seen = first
-    return total
+cover_density = keyword_matches
 
 
 def is_case_law(citation: Column | str, topic: Column | str) -> Column:
@@ -149,7 +105,7 @@ def supplemental_phrases(query: Column | str, most: int = 3) -> Column:
 
 
 def stemmed(words: Column) -> Column:
-    """English stems."""
+    """English stems (F6), for words that aren't stored."""
 
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
@@ -157,66 +113,3 @@ def stemmed(words: Column) -> Column:
         return pd.Series([None if r is None else [known.get(w) or known.setdefault(w, stem(w)) for w in r] for r in rows])
 
     return run(words)
-
-
-def _measure(w: str) -> int:
-    """Changes from vowels to consonants; y is a vowel after a consonant."""
-    kinds = "".join("v" if c in "aeiou" or c == "y" and i and w[i - 1] not in "aeiou" else "c" for i, c in enumerate(w))
-    return sum(a == "v" and b == "c" for a, b in zip(kinds, kinds[1:], strict=False))
-
-
-def _voweled(w: str) -> bool:
-    return any(c in "aeiou" or c == "y" and i for i, c in enumerate(w))
-
-
-# Suffixes of the published algorithm and what replaces them where enough of the word is left.
-_LONG = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_MIDDLE = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_SHORT = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "sion", "tion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
-
-
-def stem(w: str) -> str:
-    """Porter's stem of a lower-case English word."""
-    if len(w) <= 2 or not w.isascii():
-        return w
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: len(w) - len(end)] + new
-            break
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and _voweled(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _short(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _voweled(w[:-1]):
-        w = w[:-1] + "i"
-    for table in (_LONG, _MIDDLE):
-        for end, new in sorted(table, key=lambda x: -len(x[0])):
-            if w.endswith(end):
-                w = w[: len(w) - len(end)] + new if _measure(w[: len(w) - len(end)]) > 0 else w
-                break
-    for end in sorted(_SHORT, key=len, reverse=True):
-        if w.endswith(end):
-            cut = len(end) - (end in ("sion", "tion"))
-            cut = 3 if end in ("sion", "tion") else cut
-            w = w[:-cut] if _measure(w[:-cut]) > 1 else w
-            break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
-        w = w[:-1]
-    if w.endswith("ll") and _measure(w[:-1]) > 1:
-        w = w[:-1]
-    return w
-
-
-def _short(w: str) -> bool:
-    """Ends in consonant, vowel, consonant, the last not w, x or y."""
-    v = lambda i: w[i] in "aeiou" or w[i] == "y" and i and w[i - 1] not in "aeiou"
-    return len(w) >= 3 and not v(len(w) - 1) and v(len(w) - 2) and not v(len(w) - 3) and w[-1] not in "wxy"

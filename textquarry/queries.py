@@ -6,15 +6,18 @@ questions, conversations the turns; the star schema the relational operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import search_sql
 from .functions import chunking, rules, text
-from .operators import catalog, conversation, fulltext, fusion, lifecycle, quality, rerank, scoring, understand, vector
+from .operators import catalog, conversation, fulltext, fusion, lifecycle, quality, rerank, scoring, search, understand, vector
 from .plans import corpus, hybrid
 from .sources import html
+from .sources.kept import shared_folder
 from .streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +88,18 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), "qid", "left")
 
 
-def _posted(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.postings(_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), {"A": "text"})
+#: The fields of the index, by class of weight: text, question, citation, topic and subtopic.
+FIELDS = {"A": ["text"], "B": ["question"], "C": ["citation"], "D": ["lang", "source"]}
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    return _table(spark, sf, "documents").select(i.alias("chunk_id"), "text", _pick(QUESTIONS, F.floor(i / 3).cast("long")).alias("question"), _pick(CITATIONS, i).alias("citation"), "lang", "source")
+
+
+def _lists(spark: SparkSession, sf: str) -> search.Lists:
+    """The stored index of the documents: built by the first search, read by all."""
+    return search.opened(spark, search.as_of(spark, f"{sf}/documents.parquet"), _indexed(spark, sf), FIELDS).lists()
 
 
 def _asked_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,41 +163,67 @@ def ext_lsh_recall(spark, sf):
 
 # ---- full text ----------------------------------------------------------------------------------------------
 
-KEYWORD_SQL = f"""questions AS (SELECT item_id AS qid, text AS query FROM benchmark),
-lex AS (SELECT qid, unnest(ws) AS lexeme, len(ws) AS n FROM (SELECT qid, list_distinct(list_filter({WORDS_SQL.format('query')}, lambda w: NOT list_contains({STOP_SQL}, w))) AS ws FROM questions)),
-tf AS (SELECT chunk_id, lexeme, count(*)::DOUBLE AS tf FROM (SELECT doc_id AS chunk_id, unnest({WORDS_SQL.format('text')}) AS lexeme FROM documents) GROUP BY ALL),
-hits AS (SELECT qid, chunk_id, round(sum(tf / (1 + tf)) / any_value(n), 6) AS kw_score FROM tf JOIN lex USING (lexeme) GROUP BY qid, chunk_id HAVING count(*) = any_value(n)),
-kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kw_score DESC, chunk_id) AS rank FROM hits) WHERE rank <= 15)"""
+FIELDS_SQL = [("text", 10), (_pick_sql(QUESTIONS, "(doc_id // 3)"), 4), (_pick_sql(CITATIONS, "doc_id"), 2), ("lang", 1), ("source", 1)]
+INDEX_SQL = f"{search_sql.tokens_sql(FIELDS_SQL, WORDS_SQL, STOP_SQL)}, {search_sql.asked_sql(WORDS_SQL, STOP_SQL)}, {search_sql.stems_sql('(SELECT lexeme FROM tok UNION SELECT lexeme FROM qw)')}"
+KEYWORD_SQL = f"{INDEX_SQL}, {search_sql.COVERS_SQL}"
+PHRASE_SQL = search_sql.PHRASES_SQL
 
 
 @query(f"WITH {KEYWORD_SQL} SELECT qid, chunk_id, kw_score, rank FROM kw")
 def keyword_topk(spark, sf):
-    return fulltext.keyword_topk(_posted(spark, sf), _questions(spark, sf))
-
+    return search.keyword_topk(_lists(spark, sf), _questions(spark, sf))
 
-PHRASE_SQL = f"""pos AS (SELECT doc_id AS chunk_id, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS ws FROM documents)),
-asked AS (SELECT * FROM (SELECT item_id AS qid, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS place FROM (SELECT item_id, {WORDS_SQL.format('text')} AS ws FROM benchmark)) WHERE NOT list_contains({STOP_SQL}, lexeme)),
-n AS (SELECT qid, count(*) AS n FROM asked GROUP BY qid),
-starts AS (SELECT qid, chunk_id, pos - place AS begin_at, count(DISTINCT place) AS c FROM pos JOIN asked USING (lexeme) GROUP BY ALL),
-phrases AS (SELECT qid, chunk_id, count(*)::DOUBLE AS kw_score FROM starts JOIN n USING (qid) WHERE c = n GROUP BY ALL)"""
 
-
-@query(f"WITH {PHRASE_SQL} SELECT * FROM (SELECT qid, chunk_id, kw_score, row_number() OVER (PARTITION BY qid ORDER BY kw_score DESC, chunk_id) AS rank FROM phrases) WHERE rank <= 12")
+@query(f"WITH {INDEX_SQL}, {PHRASE_SQL} SELECT * FROM (SELECT qid, chunk_id, kw_score, row_number() OVER (PARTITION BY qid ORDER BY kw_score DESC, chunk_id) AS rank FROM phrases) WHERE rank <= 12")
 def phrase_topk(spark, sf):
-    return fulltext.phrase_topk(_posted(spark, sf), _table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
+    return search.phrase_topk(_lists(spark, sf), _questions(spark, sf))
 
 
-@query()
+@query(f"WITH {KEYWORD_SQL} SELECT qid, chunk_id, kw_score FROM scored")
 def cover_density(spark, sf):
-    return fulltext.cover_density(_posted(spark, sf), _questions(spark, sf))
+    """Every match, not the best of each question alone."""
+    return search.keyword_matches(_lists(spark, sf), _questions(spark, sf))
 
 
-@query()
+SHORT_SQL = INDEX_SQL.replace(" FROM benchmark", " FROM asked3").replace("fs AS (", f"asked3 AS (SELECT doc_id AS item_id, array_to_string({WORDS_SQL.format('text')}[1:3], ' ') AS text FROM documents WHERE doc_id % 50 = 0), fs AS (", 1)
+
+
+@query(f"WITH {SHORT_SQL}, {search_sql.COVERS_SQL} SELECT qid, chunk_id, kw_score, rank FROM kw")
+def keyword_openings(spark, sf):
+    """The first three words of every fiftieth document asked of all: frequent stems, many matches."""
+    docs = _table(spark, sf, "documents").where("doc_id % 50 = 0")
+    asked = docs.select(F.col("doc_id").alias("qid"), F.array_join(F.slice(search.words("text"), 1, 3), " ").alias("query"))
+    return search.keyword_topk(_lists(spark, sf), asked)
+
+
+STEMMED_SQL = f"WITH {search_sql.tokens_sql([('text', 10)], WORDS_SQL, STOP_SQL, 'benchmark', 'item_id')}, {search_sql.stems_sql('tok')}"
+
+
+@query(f"{STEMMED_SQL} SELECT chunk_id, stem AS lexeme, pos, 'A' AS weight FROM tok JOIN st USING (lexeme)")
 def stemmed_lexemes(spark, sf):
     return fulltext.postings(_table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id"), "text"), {"A": "text"}, stem=True)
 
 
-@query(f"""WITH {KEYWORD_SQL}, {PHRASE_SQL.replace('asked AS', 'asked_p AS').replace('FROM asked ', 'FROM asked_p ').replace('JOIN asked ', 'JOIN asked_p ')},
+@query(f"WITH {INDEX_SQL} SELECT stem, count(DISTINCT chunk_id) AS df FROM tok JOIN st USING (lexeme) GROUP BY stem")
+def index_terms(spark, sf):
+    return _lists(spark, sf).terms
+
+
+UPDATED_SQL = INDEX_SQL.replace(" FROM documents)", " FROM changed)").replace("fs AS (", "changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(text, 200) ELSE text END AS text, lang, source FROM documents WHERE doc_id % 11 <> 0), fs AS (", 1)
+
+
+@query(f"WITH {UPDATED_SQL} SELECT stem, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_hits, sum(pos)::BIGINT AS places FROM tok JOIN st USING (lexeme) GROUP BY stem")
+def index_update(spark, sf):
+    """An index of all documents after some were cut and others removed, and after that was compacted."""
+    rows = _indexed(spark, sf)
+    index = search.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", fields=FIELDS).build(rows)
+    index.update(rows.where("chunk_id % 7 = 0").withColumn("text", F.left("text", F.lit(200))))
+    index.update(rows.limit(0), gone=rows.where("chunk_id % 11 = 0").select("chunk_id"))
+    hits = index.compact().lists().postings.select("stem", "chunk_id", F.explode("hits").alias("hit"))
+    return hits.groupBy("stem").agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count("*").alias("n_hits"), F.sum(F.floor(F.col("hit") / 4)).cast("bigint").alias("places"))
+
+
+@query(f"""WITH {KEYWORD_SQL}, {PHRASE_SQL},
 both_ AS (SELECT qid, chunk_id, kw_score, 0 AS l FROM kw UNION ALL SELECT qid, chunk_id, kw_score, 1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kw_score DESC, chunk_id) AS r FROM phrases) WHERE r <= 12),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY kw_score DESC, l) AS i FROM both_) WHERE i = 1)
 SELECT qid, chunk_id, kw_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kw_score DESC, l, chunk_id) AS rank FROM best) WHERE rank <= 15""")
@@ -377,13 +416,13 @@ def high_risk_questions(spark, sf):
 @query()
 def hybrid_retrieval(spark, sf):
     """The flagship: every benchmark question against all chunks."""
-    best = hybrid.retrieve(_chunks(spark, sf), _posted(spark, sf), _questions(spark, sf))
+    best = hybrid.retrieve(_chunks(spark, sf), _lists(spark, sf), _questions(spark, sf))
     return best.select("qid", "rank", "chunk_id", "citation", "source_family", "vector_rank", "keyword_rank", "boost", "hybrid_score")
 
 
 @query()
 def hybrid_many(spark, sf):
-    found = hybrid.retrieve_many(_chunks(spark, sf), _posted(spark, sf), _questions(spark, sf))
+    found = hybrid.retrieve_many(_chunks(spark, sf), _lists(spark, sf), _questions(spark, sf))
     return found.select("qid", "rank", "chunk_id", "sub_no", "hybrid_score")
 
 
