@@ -2,18 +2,18 @@
 
 versions(id, version_name, status, started_at, completed_at, activated_at) is small and broadcast where
 Spark finds it so; chunks(chunk_id, version_id, is_active, ...) are rewritten in one pass without a shuffle of their text.
-`publish` makes the new state visible by one small pointer, written last.
+`publish` makes the new state visible by one commit, written last.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Snapshots
+
 STATUSES = ("building", "ready", "active", "failed", "archived")
 
 
@@ -100,6 +100,27 @@ def job_rows(jobs: DataFrame, name: str, status: str, added: int = 0, updated: i
     return jobs.unionByName(row)
 
 
+#: Which status may follow which; a job begins queued or running.
+FOLLOWS = {"queued": ("running", "failed"), "running": ("success", "failed"), "success": (), "failed": ("queued", "running")}
+
+
+def job_log(log: DataFrame) -> DataFrame:
+    """log(job, status, at, seq) with before, the job's status before, and legal: whether the one may follow the other (L6). seq settles equal times."""
+    before = F.lag("status").over(Window.partitionBy("job").orderBy("at", "seq"))
+    rows = log.withColumn("before", before)
+    legal = F.when(F.col("before").isNull(), F.col("status").isin("queued", "running"))
+    for status, after in FOLLOWS.items():
+        legal = legal.when(F.col("before") == status, F.col("status").isin(*after) if after else F.lit(False))
+    return rows.withColumn("legal", F.coalesce(legal, F.lit(False)))
+
+
+def job_states(log: DataFrame, now: Column, patience: str = "1 day") -> DataFrame:
+    """(job, n_rows, n_illegal, status, at, hung): each job's last status; it hangs if that is queued or running and older than `patience`."""
+    rows = job_log(log).groupBy("job").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("legal")).alias("n_illegal"), F.max(F.struct("at", "seq", "status")).alias("last"))
+    open_ = F.col("last.status").isin("queued", "running")
+    return rows.select("job", "n_rows", "n_illegal", F.col("last.status").alias("status"), F.col("last.at").alias("at"), (open_ & (F.col("last.at") < now - F.expr(f"INTERVAL {patience}"))).alias("hung"))
+
+
 def first_seen(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """(keys, number): of each key the least number, by which later rows refer to it."""
     return rows.groupBy(*keys).agg(F.min(number).alias(number))
@@ -138,21 +159,22 @@ def embed_plan(chunks: DataFrame, vectors: DataFrame, batch: int) -> DataFrame:
     return missing.groupBy(F.floor(F.col("chunk_id") / batch).alias("batch_no")).agg(F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"), F.count("*").alias("n"))
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """Writes a snapshot of several tables, then a new pointer to it; earlier pointers stay, so a reader always finds one."""
-    snapshot = f"snapshot-{uuid.uuid4().hex}"
-    spark = None
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{snapshot}/{name}")
-        spark = df.sparkSession
-    if spark is None:
+def publish(tables: dict[str, DataFrame], folder: str, began_from: int | None = None) -> int:
+    """Writes several tables and publishes them by one commit; Conflict if another was made since the one this writer began from.
+
+    Without began_from, the state is the one found now.
+    """
+    if not tables:
         raise ValueError("no table to publish")
-    pointer = spark.createDataFrame([(snapshot, sorted(tables), time.time_ns())], "snapshot string, tables array<string>, at long")
-    pointer.coalesce(1).write.mode("append").json(f"{folder}/pointers")  # a file is there when its job has been committed
-    return snapshot
+    spark = next(iter(tables.values())).sparkSession
+    snapshots = Snapshots(spark, folder)
+    began = snapshots.current()[0] if began_from is None else began_from
+    places = {name: snapshots.place(name) for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(places[name])
+    return snapshots.commit(began, {"tables": places})
 
 
 def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the newest snapshot."""
-    said = spark.read.schema("snapshot string, tables array<string>, at long").json(f"{folder}/pointers").orderBy(F.desc("at"), "snapshot").first()
-    return {t: spark.read.parquet(f"{folder}/{said.snapshot}/{t}") for t in said.tables}
+    """The tables of the last commit, all of one state; none before the first."""
+    return {name: spark.read.parquet(path) for name, path in Snapshots(spark, folder).current()[1].get("tables", {}).items()}

@@ -821,4 +821,4 @@ def ext_rollup(spark, sf):
     return _table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
-from . import questions  # noqa: E402,F401 - registers its queries here
+from . import questions, upkeep  # noqa: E402,F401 - register their queries here

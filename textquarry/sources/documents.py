@@ -1,8 +1,7 @@
-"""Structured sources: sections of XML, manifests, inventories; and what is only an interface here (PDF, HTTP)."""
+"""Structured sources: manifests, inventories; and what is only an interface here (PDF, HTTP). Sections of XML are in xml."""
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,49 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SECTION = "number string, title string, text string"
-
-
-def _text(element: ET.Element) -> str:
-    return " ".join(" ".join(element.itertext()).split())
-
-
-def regulation_sections(document: bytes, least: int = 50) -> Iterator[tuple[str, str, str]]:
-    """(number, title, text) of each element of TYPE SECTION with an N; short texts are left out."""
-    for e in ET.fromstring(document).iter():
-        if e.get("TYPE") == "SECTION" and e.get("N"):
-            head = e.find("HEAD")
-            text = _text(e)
-            if len(text) >= least:
-                yield e.get("N").removeprefix("§").strip(), _text(head) if head is not None else "", text
-
-
-def code_sections(document: bytes, least: int = 50) -> Iterator[tuple[str, str, str]]:
-    """(number, title, text) of each section element with num and heading, whatever the namespace and case (S3)."""
-    local = lambda e: e.tag.rpartition("}")[2].lower() if isinstance(e.tag, str) else ""
-    for e in ET.fromstring(document).iter():
-        if local(e) == "section":
-            part = {local(c): c for c in reversed(list(e))}
-            body = " ".join(x for x in (_text(c) for c in e if local(c) not in ("num", "heading")) if x)
-            if "num" in part and len(body) >= least:
-                yield _text(part["num"]).strip("§. "), _text(part["heading"]) if "heading" in part else "", body
-
-
-def sections(files: DataFrame, read: Callable[[bytes], Iterator[tuple[str, str, str]]] = regulation_sections) -> DataFrame:
-    """(path, number, title, text) of files(path, content), as the binaryFile source gives them. A broken file gives a row whose number is null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows = list(read(content))
-                except ET.ParseError as e:
-                    rows = [(None, "broken file", str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], names=["path", "number", "title", "text"])
-
-    return files.select("path", "content").mapInArrow(run, f"path string, {SECTION}")
-
-
 def manifest(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "json", glob: str | None = None) -> DataFrame:
     """Rows of JSON lines or CSV under a path, with their file's name; files that don't fit the glob aren't opened."""
     reader = spark.read.schema(schema).option("recursiveFileLookup", True)
