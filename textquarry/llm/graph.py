@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import drop, keep, last_kept
+from .tables import drop, keep_at
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,17 +37,16 @@ def components(links: DataFrame) -> DataFrame:
     Rounds, logarithmic in the component's size, end when the links don't change.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = _kept(links)
-    path = last_kept()
+    links, path, before = _kept(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links, after = _kept(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        links, new, after = _kept(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         drop(links.sparkSession, [path])
-        path = last_kept()
+        path = new
         if after == before:
             break
         before = after
@@ -55,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
-    links = keep(links)
+def _kept(links: DataFrame) -> tuple[DataFrame, str, tuple]:
+    links, path = keep_at(links)
     seen = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return links, (seen[0], seen[1])
+    return links, path, (seen[0], seen[1])

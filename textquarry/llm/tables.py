@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_written: list[str] = []
+#: Of the scope that runs in this thread, the tables it has kept and not handed on.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the tables kept within, by this thread alone; those still owned at its end, even one by an error, are deleted.
+
+    Outside any scope a table belongs to whoever owns the shared folder.
+    """
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield paths
+    finally:
+        _owned.reset(token)
+        drop(spark, paths)
+
+
+def _own(path: str) -> None:
+    if (paths := _owned.get()) is not None:
+        paths.append(path)
 
 
 def keep_at(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written as Parquet to the shared folder and read back, which cuts its lineage; and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    _own(path)  # before it is written, so that a failed write leaves nothing
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -46,29 +69,45 @@ def keep(df: DataFrame) -> DataFrame:
     return keep_at(df)[0]
 
 
-def settle(make: Callable[[], DataFrame]) -> DataFrame:
-    """What make returns, kept; the tables that were kept on the way there are deleted."""
-    before = len(_written)
-    out = keep(make())
-    drop(out.sparkSession, _written[before:-1])
-    return out
+def settle_at(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What make returns, kept, and where it lies; the tables that were kept on the way there are deleted."""
+    with scope(spark) as paths:
+        out, path = keep_at(make())
+        paths.remove(path)
+    _own(path)
+    return out, path
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    return settle_at(spark, make)[0]
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables that nothing will read again."""
-    for path in paths:
+    owned = _owned.get()
+    for path in list(paths):
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _written.remove(path)
+        if owned is not None and path in owned:
+            owned.remove(path)
+
+
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def few_rows_a_batch(spark: SparkSession, rows: int = 2000) -> None:
     """Sets how many rows Python gets at a time: texts are long, and both sides hold a batch or two."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set(ROWS_A_BATCH, str(rows))
 
 
-def last_kept() -> str:
-    return _written[-1]
+@contextmanager
+def own_batches(spark: SparkSession) -> Iterator[None]:
+    """Gives the session its size of batches back at the end."""
+    before = spark.conf.get(ROWS_A_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_A_BATCH, before)
 
 
 def row_key(documents: DataFrame) -> list[Column]:
