@@ -9,16 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What counts as space at either end of a piece.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MARK = r"(?=\s\([a-zA-Z0-9]{1,4}\)\s)"
 
 
+def ends_cut(x: Column) -> Column:
+    """x without SPACE on either side; with one parameter, as F.transform hands places to functions of two."""
+    return F.trim(x, F.lit(SPACE))
+
+
 def packed(pieces: Column, most: int, joint: str = " ") -> Column:
     """Pieces joined in order as long as they fit in `most` characters with one more for the joint; a longer one stays whole."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(state: Column, piece: Column) -> Column:
         fits = F.length(state["open"]) + F.length(piece) + 1 <= most
-        joined = F.when(state["open"] == "", F.trim(piece)).otherwise(F.trim(F.concat(state["open"], F.lit(joint), piece)))
+        joined = F.when(state["open"] == "", ends_cut(piece)).otherwise(ends_cut(F.concat(state["open"], F.lit(joint), piece)))
         closed = F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
         return F.struct(F.when(fits, state["done"]).otherwise(closed).alias("done"), F.when(fits, joined).otherwise(piece).alias("open"))
 
@@ -34,22 +41,25 @@ def sentence_chunks(text: Column | str, most: int = 2000) -> Column:
 def paragraph_chunks(text: Column | str, most: int = 3200) -> Column:
     """Paragraphs packed into chunks; an oversized paragraph stands alone, and nothing is repeated."""
     text = F.col(text) if isinstance(text, str) else text
-    return packed(F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != ""), most, "\n\n")
+    return packed(F.filter(F.transform(F.split(text, r"\n\s*\n"), ends_cut), lambda p: p != ""), most, "\n\n")
 
 
 def structural_chunks(sections: DataFrame, most: int = 2000, least: int = 100) -> DataFrame:
     """All columns of sections(text, ...), then chunk_index, chunk_text, dropped_chars.
 
-    A section is split before its ` (x) ` markers; segments under `least` characters are dropped (dropped_chars
-    counts them), those over `most` are packed by sentence. One segment, or a text that fits, stays whole.
+    A section is split before its ` (x) ` markers; segments under `least` characters are dropped, those over `most` are
+    packed by sentence. One segment, or a text that fits, stays whole. Of what comes out, chunks under `least` are dropped too, so a short
+    text gives no row; dropped_chars counts all that went.
     """
-    segments = F.transform(F.split("text", MARK), F.trim)
+    segments = F.transform(F.split("text", MARK), ends_cut)
     kept = F.filter(segments, lambda s: F.length(s) >= least)
     whole = (F.size(kept) <= 1) | (F.length("text") <= most)
     parts = F.when(whole, F.array("text")).otherwise(kept)
     chunks = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(sentence_chunks(s, most))))
-    dropped = F.when(whole, 0).otherwise(F.aggregate(F.filter(segments, lambda s: F.length(s) < least), F.lit(0), lambda a, s: a + F.length(s)))
-    return sections.where("text is not null and text <> ''").select("*", dropped.alias("dropped_chars"), F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    short = lambda xs: F.aggregate(F.filter(xs, lambda s: F.length(s) < least), F.lit(0), lambda a, s: a + F.length(s))
+    rows = sections.where("text is not null and text <> ''").select("*", F.when(whole, 0).otherwise(short(segments)).alias("dropped_chars"), chunks.alias("_chunks"))
+    rows = rows.select(*sections.columns, (F.col("dropped_chars") + short("_chunks")).alias("dropped_chars"), F.filter("_chunks", lambda s: F.length(s) >= least).alias("_chunks"))
+    return rows.select("*", F.posexplode("_chunks").alias("chunk_index", "chunk_text")).drop("_chunks")
 
 
 def whole_sections(sections: DataFrame) -> DataFrame:

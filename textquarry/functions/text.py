@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -145,17 +146,50 @@ def plain_headers(answer: Column | str) -> Column:
     return x
 
 
-def sections(answer: Column | str) -> Column:
-    """Map from header to its first body that isn't empty (A2, A4)."""
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value made once, however often f names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
+def _pieces(x: Column) -> Column:
+    """Of an answer with plain headers: what stands before the first, then header and body in turn, stripped."""
     mark = "\x01"
-    x = plain_headers(answer)
     for header in rules.SECTIONS:
         x = F.regexp_replace(x, rf"(?m)^{header}:[ \t]*$", f"{mark}{header}{mark}")
-    # pieces: what stands before, then header and body in turn
-    pieces = F.split(x, mark)
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(pieces) - 1) / 2 - 1).cast("int")), lambda k: F.struct(F.get(pieces, k * 2 + 1).alias("header"), F.trim(F.regexp_replace(F.coalesce(F.get(pieces, k * 2 + 2), F.lit("")), r"^\s+|\s+$", "")).alias("body")))
-    body = lambda h: F.coalesce(F.get(F.filter(pairs, lambda p: (p["header"] == h) & (p["body"] != "")), F.lit(0))["body"], F.lit(""))
-    return F.create_map(*(v for h in rules.SECTIONS for v in (F.lit(h), body(h))))
+    return F.transform(F.split(x, mark), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+
+
+def _pairs(pieces: Column) -> Column:
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(pieces) - 1) / 2 - 1).cast("int")), lambda k: F.struct(F.get(pieces, k * 2 + 1).alias("header"), F.coalesce(F.get(pieces, k * 2 + 2), F.lit("")).alias("body")))
+    return F.filter(pairs, lambda p: p["header"].isNotNull())
+
+
+def _first_body(pairs: Column, header: Column) -> Column:
+    return F.coalesce(F.get(F.filter(pairs, lambda p: (p["header"] == header) & (p["body"] != "")), F.lit(0))["body"], F.lit(""))
+
+
+def sections(answer: Column | str) -> Column:
+    """Map from header to its first body that isn't empty (A2, A4)."""
+    named = lambda pairs: F.create_map(*(v for h in rules.SECTIONS for v in (F.lit(h), _first_body(pairs, F.lit(h)))))
+    return once(_pieces(plain_headers(answer)), lambda pieces: once(_pairs(pieces), named))
+
+
+def deduplicated(answer: Column | str) -> Column:
+    """The answer with each header once, in order of their first appearance, over its first body that isn't empty; what stands before the first is kept (A2).
+
+    An answer that repeats no header is only brought to one spelling of them. Null stays null.
+    """
+
+    def joined(pieces: Column, pairs: Column) -> Column:
+        each = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["header"])), lambda h: F.rtrim(F.concat(h, F.lit(":\n"), _first_body(pairs, h)), F.lit("\n")))
+        return F.array_join(F.concat(F.filter(F.slice(pieces, 1, 1), lambda p: p != ""), each), "\n\n")
+
+    def shown(x: Column) -> Column:
+        repeats = either([F.regexp_count(F.lower(x), F.lit(f"{h.lower()}:")) > 1 for h in rules.SECTIONS])
+        told = once(_pieces(x), lambda pieces: once(_pairs(pieces), lambda pairs: F.when(F.size(pairs) > 1, joined(pieces, pairs)).otherwise(x)))
+        return F.when(repeats, told).otherwise(x)
+
+    return once(plain_headers(answer), shown)
 
 
 def list_items(body: Column) -> Column:
@@ -164,13 +198,19 @@ def list_items(body: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def structured(answer: Column | str, caution: Column | str) -> Column:
-    """An answer that has all headers: as it is, with a caution added, or wrapped (A3)."""
-    x, low = plain_headers(answer), F.lower(plain_headers(answer))
-    whole = reduce(lambda a, b: a & b, [low.contains(f"{h.lower()}:") for h in rules.SECTIONS])
-    added = F.concat(F.rtrim(x), F.lit("\n\nImportant caution:\n"), col(caution))
-    wrapped = F.concat(F.lit("Short answer:\n"), x, F.lit("\n\nWhat this means:\nSee above.\n\nTypical next steps:\n1. Read the sources that are listed.\n\nOfficial sources:\n(See the citations.)\n\nImportant caution:\n"), col(caution))
-    return F.when(whole, x).when(low.contains("short answer:") & ~low.contains("important caution:"), added).otherwise(wrapped)
+def structured(answer: Column | str, high_risk: Column | bool = False) -> Column:
+    """An answer that has all headers, each once: as it is, with a caution added, or wrapped; a null one as an empty one (A3)."""
+    risky = F.lit(high_risk) if isinstance(high_risk, bool) else high_risk
+    caution = F.concat(F.lit(rules.CAUTION), F.when(risky, rules.RISK_CAUTION).otherwise(""))
+
+    def shown(x: Column) -> Column:
+        low = F.lower(x)
+        whole = reduce(lambda a, b: a & b, [low.contains(f"{h.lower()}:") for h in rules.SECTIONS])
+        added = F.concat(F.regexp_replace(x, r"(?U)\s+$", ""), F.lit("\n\nImportant caution:\n"), caution)
+        wrapped = F.concat(F.lit("Short answer:\n"), x, F.lit("".join(f"\n\n{h}:\n{body}" for h, body in rules.WRAP.items()) + "\n\nImportant caution:\n"), caution)
+        return F.when(whole, x).when(low.contains("short answer:") & ~low.contains("important caution:"), added).otherwise(wrapped)
+
+    return once(F.coalesce(deduplicated(answer), F.lit("")), shown)
 
 
 def short_answer(answer: Column | str, most: int = 300) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 
 def checked(rows: DataFrame, checks: list[tuple[str, Column, str, float]]) -> DataFrame:
     """One pass over rows: each check is (id, aggregate, comparison, expected)."""
@@ -32,6 +34,26 @@ def corpus_checks(chunks: DataFrame, width: int, least: int) -> DataFrame:
     ])
 
 
+def dataset_checks(chunks: DataFrame, expected: DataFrame, logs: DataFrame, width: int, least: int) -> DataFrame:
+    """corpus_checks, then those of expected(citation) in the active versions, and that no answer was logged.
+
+    An expected citation fails a check if any of its chunks does. Observed is the number of citations that fail. Expected citations
+    are met by a shuffle join on the citation; repeated and null ones count once and not at all.
+    """
+    there = chunks.where("status = 'active'").groupBy("citation").agg(
+        F.min("is_active").alias("active"), F.min(F.col("embedding").isNotNull()).alias("embedded"), F.max(F.col("embedding").isNotNull() & (F.size("embedding") != width)).alias("other_width"), F.lit(True).alias("there")
+    )
+    found = expected.select("citation").where("citation is not null").distinct().join(there, "citation", "left")
+    sure = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    of_citations = checked(found, [
+        ("expected_missing", sure(F.col("there").isNull()), "=", 0),
+        ("expected_inactive", sure(~F.col("active")), "=", 0),
+        ("expected_without_vector", sure(~F.col("embedded")), "=", 0),
+        ("expected_other_width", sure("other_width"), "=", 0),
+    ])
+    return corpus_checks(chunks, width, least).unionByName(of_citations).unionByName(checked(logs, [("answers_logged", F.count("*"), "=", 0)]))
+
+
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     """(key, n) of keys that stand more than once."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
@@ -60,11 +82,24 @@ def golden(results: DataFrame, expected: DataFrame, accept: float = 0.85) -> Dat
     return out.withColumn("accepted", F.col("top3_rate") >= accept)
 
 
+def asylum_only(results: DataFrame, first: int = 3) -> DataFrame:
+    """(qid): queries whose first three results all cite asylum rules and nothing that clears them."""
+    citation = F.coalesce("citation", F.lit(""))
+    bare = citation.rlike(f"(?i){rules.ASYLUM_CITATION}") & ~reduce(lambda a, b: a | b, [F.lower(citation).contains(x) for x in rules.NOT_ASYLUM])
+    return results.where(F.col("rank") <= first).groupBy("qid").agg(F.count_if(bare).alias("n")).where(F.col("n") == first).select("qid")
+
+
 def coverage(results: DataFrame, questions: DataFrame, needles: DataFrame, k: int = 5) -> DataFrame:
-    """(category, n_queries, n_passing, covered): a query passes if one of its category's needles is in its first k results."""
-    rows = questions.select("qid", "category").join(needles.select("category", "needles"), "category", "left").join(results.where(F.col("rank") <= k), "qid", "left")
+    """(category, n_queries, n_passing, covered): a query passes if one of its category's needles is in its first k results.
+
+    Where questions have a column `guarded`, a guarded one fails if its first three results (with their citation) are of asylum only.
+    """
+    rows = questions.select("qid", "category").join(needles.select("category", "needles"), "category", "left").join(results.where(F.col("rank") <= k).select("qid", "rank", "found_in"), "qid", "left")
     ok = F.coalesce(F.exists("needles", lambda n: F.contains(F.lower("found_in"), F.lower(n))), F.lit(False))
     each = rows.groupBy("category", "qid").agg(F.max(ok).alias("ok"))
+    if "guarded" in questions.columns:
+        failed = questions.where("guarded").select("qid", "category").distinct().join(asylum_only(results), "qid", "left_semi").withColumn("failed", F.lit(True))
+        each = each.join(failed, ["qid", "category"], "left").select("category", "qid", (F.col("ok") & F.col("failed").isNull()).alias("ok"))
     return each.groupBy("category").agg(F.count("*").alias("n_queries"), F.count_if("ok").alias("n_passing"), F.max("ok").alias("covered"))
 
 

@@ -106,6 +106,11 @@ def weak(rows: DataFrame, least: float = 0.017, short: int = 80) -> DataFrame:
 
 
 def high_risk(rows: DataFrame) -> DataFrame:
-    """(qid, high_risk): the query matches a pattern, or the text of its first three rows does."""
-    text = F.array_join(F.collect_list(F.when(F.col("rank") <= 3, F.concat_ws(" ", "citation", "topic", "snippet"))), " ")
-    return rows.groupBy("qid").agg(F.first("query").alias("query"), text.alias("text")).select("qid", (any_pattern(F.col("query"), rules.HIGH_RISK) | any_pattern(F.col("text"), rules.HIGH_RISK)).alias("high_risk"))
+    """(qid, high_risk): the query matches a pattern, or what is told of its first three rows does, in order of rank.
+
+    Of rows(qid, query, rank, citation, topic, subtopic, snippet), 200 characters of a snippet count. The query is one for each qid.
+    """
+    told = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("citation", "topic", "subtopic")), F.left(F.coalesce("snippet", F.lit("")), F.lit(200)))
+    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", told.alias("told")))))
+    each = rows.groupBy("qid").agg(F.min("query").alias("query"), F.array_join(F.transform(first, lambda x: x["told"]), " ").alias("text"))
+    return each.select("qid", F.coalesce(any_pattern(F.col("query"), rules.HIGH_RISK) | any_pattern(F.col("text"), rules.HIGH_RISK), any_pattern(F.col("text"), rules.HIGH_RISK)).alias("high_risk"))

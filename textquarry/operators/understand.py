@@ -36,6 +36,14 @@ def route(message: Column | str) -> Column:
     return out
 
 
+def guidance(topic: Column | str) -> Column:
+    """What an answer on a route's topic is told to say and to leave out; null for general (Q2). No route asks for missing facts."""
+    out = F.lit(None).cast("string")
+    for name, said in rules.GUIDANCE.items():
+        out = F.when(col(topic) == name, said).otherwise(out)
+    return out
+
+
 def mentioned(question: Column | str, patterns: dict[str, list[str]]) -> Column:
     low = F.lower(col(question))
     return F.filter(F.array(*(F.when(either([low.rlike(p) for p in ps]), F.lit(k)) for k, ps in patterns.items())), lambda x: x.isNotNull())

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import search_sql
+from . import chunk_sql, search_sql
 from .functions import chunking, rules, text
 from .operators import catalog, conversation, fulltext, fusion, lifecycle, quality, rerank, scoring, search, understand, vector
 from .plans import corpus, hybrid
@@ -293,7 +293,8 @@ def multi_query_union(spark, sf):
     return fusion.multi_query(rows.drop("c")).select("qid", "chunk_id", "sub_no", "hybrid_score", "rank")
 
 
-@query()
+@query(f"""WITH {ASKED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid_score DESC, chunk_id) AS rank FROM asked)
+SELECT qid, string_agg('[' || rank || '] ' || coalesce(citation, '') || ' (' || printf('%.6f', hybrid_score) || ') ' || coalesce(snippet, ''), chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY qid""")
 def context_lines(spark, sf):
     return fusion.context_lines(rerank.ranked(_asked_rows(spark, sf)).where("rank <= 5"))
 
@@ -491,7 +492,11 @@ def follow_up(spark, sf):
     return _table(spark, sf, "conversations").select("conv_id", "turn", "role", conversation.follow_up("text").alias("follow_up"))
 
 
-@query()
+HINTS_SQL = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {_any(f'lower({x})', ws)} THEN {_str(k)} END" for k, ws in rules.TOPIC_HINTS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {TURNS_SQL}, p AS (SELECT conv_id, arg_max(content, {{'t': turn, 'c': content}}) AS prior FROM turns WHERE role = 'user' GROUP BY conv_id), j AS (SELECT c.conv_id, c.turn, {STRIP_SQL.format('c.text')} AS s, p.prior, {HINTS_SQL('c.text')} AS now, {HINTS_SQL('p.prior')} AS was FROM conversations c LEFT JOIN p USING (conv_id))
+SELECT conv_id, turn, CASE WHEN {FOLLOW_SQL} AND NOT coalesce(prior IS NULL OR prior = '' OR length(s) > 100 OR (len(now) > 0 AND len(was) > 0 AND NOT list_has_any(now, was)), true) THEN left(s || ' (brief context from prior question: ' || left(prior, 150) || ')', 1200) ELSE s END AS retrieval_query FROM j""")
 def context_queries(spark, sf):
     rows = _table(spark, sf, "conversations")
     prior = conversation.last_user(rows)
@@ -511,17 +516,17 @@ def content_hash(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.content_hash("text").alias("content_hash"), text.token_estimate("text").alias("n_tokens"))
 
 
-@query()
+@query(chunk_sql.SENTENCE_PACK)
 def sentence_pack(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks("text", 2000)).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(chunk_sql.STRUCT_CHUNK)
 def struct_chunk(spark, sf):
     return chunking.structural_chunks(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_text", "dropped_chars")
 
 
-@query()
+@query(chunk_sql.PARAGRAPH_PACK)
 def paragraph_pack(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.paragraph_chunks("text")).alias("chunk_index", "chunk_text"))
 
@@ -531,7 +536,7 @@ def _sliding(preset: str) -> None:
         return chunking.sliding_chunks(_table(spark, sf, "documents").select("doc_id", "text"), preset).select("doc_id", "chunk_index", "chunk_text")
 
     run.__name__ = f"sliding_chunk_{preset}"
-    query()(run)
+    query(chunk_sql.windows(preset))(run)
 
 
 for _preset in chunking.PRESETS:
@@ -592,17 +597,18 @@ def html_strip(spark, sf):
     return _table(spark, sf, "pages").select("page_id", html.bare_text("html", unescape=False).alias("bare"))
 
 
-@query()
+@query(chunk_sql.HTML_MAIN)
 def html_main(spark, sf):
     return html.main_text(_table(spark, sf, "pages").select("page_id", "html")).select("page_id", "title", "main_text")
 
 
-@query()
+@query(chunk_sql.HTML_LINKS)
 def html_links(spark, sf):
     return html.links(_table(spark, sf, "pages"), "https://x.example", r"^/(?<word>[^/]+)$").select("url", "page_id", "word")
 
 
-@query()
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t, regexp_replace('SHORT ANSWER' || chr(10) || text, '[\s\p{Z}]+$', '') AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, t AS short, 'one|two' AS steps, 'be careful' AS caution, left('SHORT ANSWER' || chr(10) || text || chr(10) || 'Typical next steps:' || chr(10) || '1. one' || chr(10) || '- two' || chr(10) || 'Important caution:' || chr(10) || 'be careful', 300) AS shown FROM documents JOIN a USING (doc_id)""")
 def parse_sections(spark, sf):
     answer = F.concat(F.lit("SHORT ANSWER\n"), F.col("text"), F.lit("\nTypical next steps:\n1. one\n- two\nImportant caution:\nbe careful"))
     m = text.sections(answer)
@@ -821,4 +827,4 @@ def ext_rollup(spark, sf):
     return _table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
-from . import questions, upkeep  # noqa: E402,F401 - register their queries here
+from . import questions, reports, upkeep  # noqa: E402,F401 - register their queries here

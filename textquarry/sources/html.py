@@ -103,28 +103,44 @@ def volume_index(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.select("page_id", found).select("page_id", part(1).alias("volume"), part(2).alias("first_page"), part(3).alias("last_page"))
 
 
-@F.udtf(returnType="number int, decision string, case_name string, citation string, pdf_url string, headnotes array<string>")
-class Decisions:
-    """One page of decisions to a row for each.
+#: Entities that stand in pages of decisions, the sign of the others last.
+ENTITIES = {"&nbsp;": "\u00a0", "&#160;": "\u00a0", "&sect;": "§", "&#167;": "§", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
-    A page whose one table has more than ten `(PDF)` rows is of the old layout, a row for each decision; else each
-    decision is a paragraph with a PDF link, followed by headnotes up to the next <hr>.
-    """
 
-    def eval(self, page: str):
-        text = page or ""
-        rows = re.findall(r"(?is)<tr\b.*?</tr>", text)
-        old = [r for r in rows if "(PDF)" in r]
-        parts = old if len(old) > 10 and len(re.findall(r"(?i)<table\b", text)) == 1 else re.split(r"(?i)<hr\b[^>]*>", text)
-        number = 0
-        for part in parts:
-            link = re.search(r"(?is)<a\b[^>]*href=[\"']([^\"']+\.pdf)[\"'][^>]*>(.*?)</a>", part)
-            if not link:
-                continue
-            number += 1
-            plain = re.sub(r"\s+", " ", html.unescape(re.sub(r"(?s)<[^>]+>", " ", part))).strip()
-            cite = re.search(r"\d+\s+I&N\s+Dec\.\s+\d+\s+\([^)]*\d{4}\)", plain)
-            name = plain[: cite.start()].strip(" ,") if cite else plain.split(",")[0]
-            notes = [re.sub(r"\s+", " ", html.unescape(re.sub(r"(?s)<[^>]+>", " ", p))).strip() for p in re.findall(r"(?is)<p\b[^>]*>(.*?)</p>", part[link.end() :])]
-            ident = re.search(r"\bID\s*(\d+)", plain)
-            yield number, ident[1] if ident else None, name[:300], cite[0] if cite else None, link[1], [n for n in notes if len(n) > 20 and not n.startswith("Updated")]
+def decoded(x: Column) -> Column:
+    """Text with the common ENTITIES decoded, once each, as an expression; others stay as they are."""
+    for name, sign in ENTITIES.items():
+        x = F.replace(x, F.lit(name), F.lit(sign))
+    return x
+
+
+def _plain(x: Column) -> Column:
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(x, r"(?s)<[^>]+>", " ")), r"(?U)\s+", " "))
+
+
+def decisions(pages: DataFrame, column: str = "html", base: str = "") -> DataFrame:
+    """(page_id, number, decision, citation, case_name, pdf_url, headnotes): a row for each decision of pages(page_id, ...), in their order.
+
+    A page whose one table has more than ten `(PDF)` rows is of the old layout: a decision is a row of the table, linked by its bare
+    number in the cell with `(PDF)`, without headnotes. Else decisions stand between <hr>s: a table whose link reads `ID` and a number, then paragraphs, of which
+    those of over 20 characters that don't begin with `Updated` are headnotes. Parts without such a link are none. Null pages give no row.
+    Only expressions: the layout is found once a page, parts are exploded and read apart from one another.
+    """
+    rows = F.regexp_extract_all(column, F.lit(r"(?is)<tr\b.*?</tr>"), 0)
+    listed = F.filter(rows, lambda r: r.contains("(PDF)"))
+    old = (F.size(listed) > 10) & (F.regexp_count(column, F.lit(r"(?i)<table\b")) == 1)
+    parts = pages.select("page_id", old.alias("old"), F.posexplode(F.when(old, listed).otherwise(F.split(column, r"(?i)<hr\b[^>]*>"))).alias("place", "part"))
+    cell = F.get(F.filter(F.regexp_extract_all("part", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), lambda c: c.contains("(PDF)")), F.lit(0))
+    of_row = r"(?is)<a\b[^>]*?href=[\"']([^\"']+)[\"'][^>]*>\s*(\d+)\s*</a>"
+    of_block = r"(?is)<a\b[^>]*?href=[\"']([^\"']+)[\"'][^>]*>(?:\s|<[^>]*>)*ID\s+(\d+)"
+    group = lambda k: F.when(F.col("old"), F.regexp_extract(F.coalesce(cell, F.lit("")), of_row, k)).otherwise(F.regexp_extract("part", of_block, k))
+    found = parts.select("page_id", "place", "old", "part", group(1).alias("href"), group(2).alias("decision")).where("decision <> ''")
+    after = F.substring_index("part", "</table>", -1)
+    notes = F.filter(F.transform(F.regexp_extract_all(after, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1), _plain), lambda n: (F.length(n) > 20) & ~n.startswith("Updated"))
+    citation = _plain(F.regexp_extract("part", r"(?is)<td\b[^>]*>(.*?)</td>", 1))
+    return found.select(
+        "page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("place")).alias("number"), "decision", citation.alias("citation"),
+        F.regexp_extract(citation, r"^(.*?)(?:,\s*\d+\s+I&N\s+Dec\..*)?$", 1).alias("case_name"),
+        F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(base.rstrip("/")), "href")).otherwise(F.col("href")).alias("pdf_url"),
+        F.when(F.col("old"), F.array().cast("array<string>")).otherwise(notes).alias("headnotes"),
+    )
