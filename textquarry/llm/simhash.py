@@ -180,7 +180,7 @@ def links(codes: DataFrame, most: int = MOST_BITS, group: int = GROUP) -> DataFr
     n = ranked.count()
     groups = min(MOST_GROUPS, -(-n // group))
     bounds = ranked.approxQuantile("rank", [k / groups for k in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
-    placed = ranked.select("code", _bucket("rank", sorted({int(x) for x in bounds})).alias("part"))
+    placed = _placed(ranked, np.unique(np.array(bounds, np.int64)))
     upper = placed.groupBy("part").agg(F.expr("bit_and(code)").alias("both"), F.expr("bit_or(code)").alias("some")).orderBy("part").collect()
     part = np.array([r.part for r in upper], np.int64)
     both, some = (np.array([r[k] for r in upper], np.int64).view(U64) for k in ("both", "some"))
@@ -194,18 +194,17 @@ def links(codes: DataFrame, most: int = MOST_BITS, group: int = GROUP) -> DataFr
     return placed.join(roles, "part").groupBy("task").applyInArrow(_pair_links(most), "a bigint, b bigint")
 
 
-def _bucket(name: str, bounds: list[int]) -> F.Column:
-    """How many of the ascending bounds are at most the column's value, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    return F.expr(f"cast(size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= {name})) as int)") if len(bounds) < 64 else _split(F.col(name), bounds, 0)
+def _placed(ranked: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(code, part) of ranked(code, rank): part is how many of the ascending bounds are at most the rank."""
+    if not len(bounds):
+        return ranked.select("code", F.lit(0).alias("part"))
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.searchsorted(bounds, batch.column(1).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int32())], names=["code", "part"])
 
-def _split(x: F.Column, bounds: list[int], at: int) -> F.Column:
-    if not bounds:
-        return F.lit(at)
-    mid = len(bounds) // 2
-    return F.when(x < bounds[mid], _split(x, bounds[:mid], at)).otherwise(_split(x, bounds[mid + 1 :], at + mid + 1))
+    return ranked.select("code", "rank").mapInArrow(place, "code bigint, part int")
 
 
 def roots(codes: DataFrame, most: int = MOST_BITS) -> DataFrame:
