@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -448,3 +449,16 @@ def test_repeats_of_few_words(spark):
     for _ in range(3):
         rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 40)))) for i in range(40)]
         assert same(repeats.digest(repeats.remove_repeats(documents(spark, rows))).collect(), plain_repeats(rows))
+
+
+@pytest.mark.parametrize("ids", [[7], [-(2**63), 2**63 - 1, 0], [5, 5, 260], [2**40, 2**40 + 70_000, -1]])
+def test_ids_in_few_bytes(ids):
+    packed = repeats._narrow(np.array(ids, np.int64))
+    assert repeats._wide(packed).tolist() == ids
+    assert len(packed) == 9 + len(ids) * max(1, -(-(max(ids) - min(ids)).bit_length() // 8))
+
+
+def test_repeats_of_far_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(2**63 - 1, text), (-(2**63), text[:150]), (0, f"x {text[40:]}"), (-5, text[90:]), (2**40, "none of these")]
+    assert same(repeats.digest(repeats.remove_repeats(documents(spark, rows), block_bytes=100)).collect(), plain_repeats(rows))

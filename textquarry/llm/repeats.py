@@ -16,8 +16,10 @@ all later steps find them there, and exchange with each other only packed finger
 
 A phrase in a third of all documents costs one fingerprint for each block that has it, not one for
 each document, so no bucket has a hot key; no pairs are formed. A block sends rows to those buckets only of which it
-holds a hash. Words are known by 128 bits, so are windows: the chance that two of n different ones are taken for
-one is about n**2 / 2**129.
+holds a hash. What the bucket says isn't sent again: of an anchor 32 bits go (more that look alike only make more
+candidates), of a window 96, of its owner as many bytes as the ids of a row differ in. Words are known by 128 bits, so are
+windows in a block; between blocks the chance that two of n different ones are taken for one is about n * m / 2**97 with m of them in a
+bucket, whose size is fixed: under 10**-9 for the 10**13 windows of 100 TB.
 
 Defined results: a null text has no words, and its kept text is null; a null doc_id neither
 owns nor loses anything; repeated rows (same doc_id) don't remove each other's words, as neither is
@@ -130,6 +132,24 @@ class _Runs:
         values = np.ascontiguousarray(values)
         return pa.BinaryArray.from_buffers(pa.binary(), len(self.begins), [None, pa.py_buffer((self.cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
+    def narrow(self, ids: np.ndarray) -> pa.Array:
+        return pa.array([_narrow(ids[a:b]) for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)] if len(ids) else [], pa.binary())
+
+
+def _narrow(ids: np.ndarray) -> bytes:
+    """Some whole numbers in as many bytes each as they differ in, behind the least of them and that width."""
+    least = int(ids.min())
+    beyond = ids.view(U64) - U64(least % 2**64)
+    width = max(1, -(-int(beyond.max()).bit_length() // 8))
+    return least.to_bytes(8, "little", signed=True) + bytes([width]) + beyond.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    body = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, packed[8])
+    beyond = np.zeros((len(body), 8), np.uint8)
+    beyond[:, : packed[8]] = body
+    return (beyond.view("<u8").reshape(-1) + U64(int.from_bytes(packed[:8], "little", signed=True) % 2**64)).view(np.int64)
+
 
 def _table(rows: list[dict], schema: dict) -> pa.Table:
     return pa.table({k: pa.array([r[k] for r in rows], kind) for k, kind in schema.items()})
@@ -150,15 +170,21 @@ def _number(table: pa.Table, name: str) -> int:
     return table.column(name)[0].as_py()
 
 
-def _sent(block: int, runs: _Runs, columns: dict[str, np.ndarray]) -> pa.Table:
+def _sent(block: int, runs: _Runs, columns: dict[str, pa.Array]) -> pa.Table:
     n = len(runs.buckets)
-    return pa.table({"bucket": pa.array(runs.buckets, pa.int32()), "block": pa.array(np.full(n, block), pa.int32())} | {k: runs.packed(x) for k, x in columns.items()})
+    return pa.table({"bucket": pa.array(runs.buckets, pa.int32()), "block": pa.array(np.full(n, block), pa.int32())} | columns)
+
+
+def _low(hashes: np.ndarray) -> np.ndarray:
+    """The lower half of each; the bucket is told by the upper one."""
+    return hashes.astype(np.uint32)
 
 
 def _send_anchors(window: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         distinct, _ = _Block(table, window).anchor_set()
-        return _sent(_number(table, "block"), _Runs(distinct, buckets), {"one": distinct})
+        runs = _Runs(distinct, buckets)
+        return _sent(_number(table, "block"), runs, {"one": runs.packed(_low(distinct))})
 
     return send
 
@@ -169,9 +195,9 @@ def _joined(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
-    one, ends = _joined(table, "one", U64)
+    one, ends = _joined(table, "one", np.uint32)
     x = np.sort(one)
-    twice = np.unique(x[1:][x[1:] == x[:-1]])  # a block sends each once
+    twice = np.unique(x[1:][x[1:] == x[:-1]])  # a block sends each once, but for those that only look alike
     at = np.minimum(np.searchsorted(twice, one), max(0, len(twice) - 1))
     shared = twice[at] == one if len(twice) else np.zeros(len(one), bool)
     rows = zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), np.split(shared, ends), strict=True)
@@ -190,21 +216,22 @@ def _send_passages(window: int, buckets: int):
             return _table([], PASSAGES)
         block = _Block(docs, window)
         block.candidates(answers, buckets)
-        return _sent(_number(docs, "block"), _Runs(block.one, buckets), {"one": block.one, "two": block.two, "owners": block.least})
+        runs = _Runs(block.one, buckets)
+        return _sent(_number(docs, "block"), runs, {"one": runs.packed(_low(block.one)), "two": runs.packed(block.two), "owners": runs.narrow(block.least)})
 
     return send
 
 
 def _answer_passages(table: pa.Table) -> pa.Table:
-    one, ends = _joined(table, "one", U64)
-    two, least = _joined(table, "two", U64)[0], _joined(table, "owners", np.int64)[0]
+    one, ends = _joined(table, "one", np.uint32)
+    two, least = _joined(table, "two", U64)[0], np.concatenate([_wide(x.as_py()) for x in table.column("owners")])
     order = np.lexsort((least, two, one))
     a, b = one[order], two[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     owner = np.empty(len(order), np.int64)
     owner[order] = least[order[new]][np.cumsum(new) - 1]
     rows = zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), np.split(owner, ends), np.split(owner < least, ends), strict=True)
-    return _table([{"bucket": n, "block": k, "bits": np.packbits(s).tobytes(), "owners": o[s].tobytes()} for n, k, o, s in rows if s.any()], ANSWERS)
+    return _table([{"bucket": n, "block": k, "bits": np.packbits(s).tobytes(), "owners": _narrow(o[s])} for n, k, o, s in rows if s.any()], ANSWERS)
 
 
 def _spelled(codes: np.ndarray, base: int) -> str:
@@ -258,7 +285,7 @@ def _strip(window: int, buckets: int, rest: bool, untouched: bool):
         owner, runs = block.least.copy(), _Runs(block.one, buckets)
         for bucket, owners, bits in _rows(answers, True, "bucket", "owners", "bits"):
             a, b = runs.of(bucket)
-            owner[a:b][np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)] = np.frombuffer(owners, np.int64)
+            owner[a:b][np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)] = _wide(owners)
         gone = _removed(block, owner)
         first = np.concatenate([[0], np.cumsum(block.counts)])
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
