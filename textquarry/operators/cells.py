@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .search import settled
-from .vector import distance, top, vector_topk
+from .vector import nearest_by, top, vector_topk
 
 LEARN_FROM = 20_000
 SAMPLED = 200
@@ -75,9 +75,8 @@ def search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, probes:
     """(qid, chunk_id, distance, rank) among the probed cells of a stored table; only their partitions are read."""
     asked = settled(_probed(queries, centroids, probes), 100_000)
     wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # as many as there are centroids, at most
-    pairs = cells.where(F.col("cell").isin(wanted)).select("cell", "chunk_id", "embedding").join(asked, "cell")
-    rows = pairs.select("qid", "chunk_id", F.round(distance("embedding", "vector", metric), 6).alias("distance")).where("distance is not null")
-    return top(rows, [F.col("distance"), F.col("chunk_id")], k)
+    found = nearest_by(cells.where(F.col("cell").isin(wanted)).select("cell", "chunk_id", "embedding"), asked, k, metric, ("cell",))
+    return top(found.withColumn("distance", F.round("distance", 6)), [F.col("distance"), F.col("chunk_id")], k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
