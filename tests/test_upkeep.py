@@ -119,6 +119,17 @@ def test_a_killed_run_of_embedding_ends_as_an_unbroken_one(spark):
         embedding.Ledger(spark, f"file://{folder()}/v").run(chunks, lambda t: np.zeros((len(t), 3)), 64, 10)
 
 
+def test_batches_are_embedded_together_in_few_commits(spark):
+    chunks = spark.createDataFrame([(i, f"text number {i}") for i in range(95)], "chunk_id long, chunk_text string")
+    rows = lambda ledger: sorted((r.chunk_id, tuple(r.embedding)) for r in ledger.vectors().collect())
+    one, many = (embedding.Ledger(spark, f"file://{folder()}/v") for _ in range(2))
+    assert one.run(chunks, embedding.hashed, 64, 10) == 10 and many.run(chunks.where("chunk_id between 40 and 49"), embedding.hashed, 64, 10) == 1
+    assert many.run(chunks, embedding.hashed, 64, 10, commits=3) == 9  # before and behind what is done
+    assert len(many.snapshots.versions()) == 1 + 4 and many.run(chunks, embedding.hashed, 64, 10, commits=3) == 0
+    assert rows(many) == rows(one) and len(rows(one)) == 95
+    assert sorted(many.report().collect()) == sorted(one.report().collect())
+
+
 def test_cells_find_most_neighbours_and_read_a_part(spark):
     rng = np.random.default_rng(3)
     middles = rng.normal(size=(12, 16)) * 4

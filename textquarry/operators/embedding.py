@@ -60,33 +60,43 @@ class Ledger:
 
     def vectors(self) -> DataFrame:
         """All that is committed."""
-        schema, paths = "chunk_id bigint, embedding array<float>", [b["path"] for b in self.done().values()]
+        schema, paths = "chunk_id bigint, embedding array<float>", sorted({b["path"] for b in self.done().values()})
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def report(self) -> DataFrame:
         """(batch_no, first_id, last_id, n) of the batches done; n counts chunks, those without text too."""
         return self.spark.createDataFrame([(int(k), b["first_id"], b["last_id"], b["n"]) for k, b in self.done().items()], "batch_no bigint, first_id bigint, last_id bigint, n bigint")
 
-    def run(self, chunks: DataFrame, embed: Embedder, width: int, batch: int, stored: DataFrame | None = None, most: int | None = None) -> int:
+    def run(self, chunks: DataFrame, embed: Embedder, width: int, batch: int, stored: DataFrame | None = None, most: int | None = None, commits: int | None = None) -> int:
         """Does the batches of `batch` ids that are left of chunks without a vector in stored, `most` of them at most; how many were done.
 
-        The plan has a row a batch, which the driver holds: batches are to be large. Two runs at once do no harm: the one that commits second finds a conflict and stops.
+        The plan has a row a batch, which the driver holds: batches are to be large. Each commit reads chunks once: with `commits`, neighbouring
+        batches are done together, so that their number doesn't follow that of the batches; a killed run loses the ones it was at.
+        Two runs at once do no harm: the one that commits second finds a conflict and stops.
         """
         none = self.spark.createDataFrame([], "chunk_id bigint")
         plan = embed_plan(chunks.select("chunk_id"), none if stored is None else stored.select("chunk_id"), batch).where("batch_no IS NOT NULL")
-        number = 0
-        for row in plan.orderBy("batch_no").toLocalIterator():
-            if str(row.batch_no) in self.done():
+        done, left, gap = self.done(), [], True
+        for row in sorted(plan.collect()):
+            if str(row.batch_no) in done:
+                gap = True
                 continue
-            if most is not None and number >= most:
-                break
-            some = chunks.where((F.col("chunk_id") >= row.first_id) & (F.col("chunk_id") <= row.last_id))
+            left.append((row, gap))
+            gap = False
+        left = left[:most]
+        each = -(-len(left) // commits) if commits else 1
+        parts: list[list] = []
+        for row, gap in left:
+            if not parts or gap or len(parts[-1]) >= each:
+                parts.append([])
+            parts[-1].append(row)
+        for rows in parts:
+            some = chunks.where((F.col("chunk_id") >= rows[0].first_id) & (F.col("chunk_id") <= rows[-1].last_id))
             if stored is not None:
                 some = some.join(stored.select("chunk_id"), "chunk_id", "left_anti")
             began, state = self.snapshots.current()
             path = self.snapshots.place("vectors")
             embedded(some, embed, width).write.parquet(path)
-            batches = state.get("batches", {}) | {str(row.batch_no): {"path": path, "first_id": row.first_id, "last_id": row.last_id, "n": row.n}}
-            self.snapshots.commit(began, {"batches": batches})
-            number += 1
-        return number
+            new = {str(r.batch_no): {"path": path, "first_id": r.first_id, "last_id": r.last_id, "n": r.n} for r in rows}
+            self.snapshots.commit(began, {"batches": state.get("batches", {}) | new})
+        return len(left)
