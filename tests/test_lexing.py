@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textquarry.functions import lexing
+from textquarry.functions.text import tags
 from textquarry.operators import search
 
 TEXTS = ["", None, "Ümlaut_x ÉTAPE 12½ Ⅷ x", "end", "begin", "日本語 𝒳y 𐐀z 😀a", "ΣΑΣ İstanbul ǅ", " - ", "áb ª٣ _", "ends in é", "é begins", "x" * 5000]
@@ -36,3 +37,12 @@ def test_rows_of_one_chunk_id_are_one_chunk(spark, tmp_path):
     lists = search.Index(spark, f"file://{tmp_path}/index", buckets=2, fields={"A": ["text"]}).build(chunks).lists()
     assert {(r.stem, r.df) for r in lists.terms.collect()} == {("visa", 2), ("card", 1)}
     assert {(r.stem, r.chunk_id, tuple(r.hits)) for r in lists.postings.collect()} == {("visa", 1, (4, 8)), ("card", 1, (4,)), ("visa", 2, (4,))}
+
+
+def test_tags_are_searched_in_one_pass_over_batches(spark):
+    words = {"visa": ["visa", "e-visa", "visas"], "form": ["form i-1", "i-1"], "none": ["zz"], "empty": []}
+    rows = spark.createDataFrame([(1, "An E-VISA, FORM I-1"), (2, "i-"), (3, None), (4, ""), (5, "é zZ")], "i int, text string")
+    found = rows.select("i", tags(F.col("text"), words).alias("a"), tags(F.col("text"), {"x": ["i-"]}).alias("b"))
+    assert {r.i: (r.a, r.b) for r in found.collect()} == {1: (["visa", "form"], ["x"]), 2: ([], ["x"]), 3: ([], []), 4: ([], []), 5: (["none"], [])}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "exists(" not in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,9 +114,18 @@ def chunk_citation(section: Column | str, text: Column | str) -> Column:
 
 
 def words_held(text: Column, words: dict[str, list[str]]) -> Column:
-    """Names of the dictionary with a word in the text as it is, in the dictionary's order."""
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ws)).alias("words")) for name, ws in words.items()))
-    return F.transform(F.filter(table, lambda t: F.exists(t["words"], lambda w: F.contains(text, w))), lambda t: t["name"])
+    """Names of the dictionary with a word in the text as it is, in the dictionary's order; none for null.
+
+    Searched in Python, whose search skips ahead by a word's length; an expression's looks at every byte for every word. A word
+    that holds another of its name finds nothing more.
+    """
+    table = [(name, list(dict.fromkeys(w for w in ws if not any(v != w and v in w for v in ws)))) for name, ws in words.items()]
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [name for name, ws in table if any(w in t for w in ws)] for t in texts], dtype=object)
+
+    return run(text)
 
 
 def tags(text: Column, words: dict[str, list[str]], whole_words: bool = False) -> Column:
@@ -125,7 +135,7 @@ def tags(text: Column, words: dict[str, list[str]], whole_words: bool = False) -
     """
     low = F.lower(text)
     if not whole_words:
-        return F.element_at(F.transform(F.array(low), lambda t: words_held(t, words)), 1)  # the text is made once
+        return words_held(low, words)
     hit = lambda w: low.rlike(r"(?<![\p{L}\p{N}])" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in w) + r"(?![\p{L}\p{N}])")
     return F.filter(F.array(*(F.when(either([hit(w) for w in ws]), F.lit(name)) for name, ws in words.items())), lambda x: x.isNotNull())
 
