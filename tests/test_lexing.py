@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import lexing
 from textquarry.functions.text import tags
-from textquarry.operators import search
+from textquarry.operators import fulltext, search
+from textquarry.plans import corpus
 
 TEXTS = ["", None, "Ümlaut_x ÉTAPE 12½ Ⅷ x", "end", "begin", "日本語 𝒳y 𐐀z 😀a", "ΣΑΣ İstanbul ǅ", " - ", "áb ª٣ _", "ends in é", "é begins", "x" * 5000]
 
@@ -46,3 +47,15 @@ def test_tags_are_searched_in_one_pass_over_batches(spark):
     assert {r.i: (r.a, r.b) for r in found.collect()} == {1: (["visa", "form"], ["x"]), 2: ([], ["x"]), 3: ([], []), 4: ([], []), 5: (["none"], [])}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "exists(" not in plan
+
+
+def test_stemmed_postings_and_a_corpus_shuffle_no_word(spark):
+    texts = spark.createDataFrame([(1, "The visas, visa"), (2, None)], "chunk_id long, text string")
+    posted = fulltext.postings(texts, {"A": "text"}, stem=True)
+    assert sorted(tuple(r) for r in posted.collect()) == [(1, "visa", 2, "A"), (1, "visa", 3, "A")]
+    _, built = corpus.build(spark.createDataFrame([("1", "Visas must be filed. " * 20)], "section string, text string"), 1)
+    for rows in (posted, built):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert "rlike" not in plan.lower() and "(?=" not in plan  # chunks are cut once, and read
+    assert built.where("lexeme = 'visa'").count() == 20

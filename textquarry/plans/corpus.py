@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, rules, text
 from ..operators import fulltext
+from ..sources.kept import kept
 
 
 def tagged(chunks: DataFrame) -> DataFrame:
@@ -21,10 +22,10 @@ def tagged(chunks: DataFrame) -> DataFrame:
 def build(sections: DataFrame, version_id: int, most: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(chunks, postings) of sections(section, text): ids follow from content and place, so a rerun gives the same.
 
-    Chunks are inactive until their version is activated.
+    Chunks are inactive until their version is activated. They are written once, to the shared folder: both results read them.
     """
     parts = chunking.structural_chunks(sections.withColumn("text", text.squeezed(text.without_nul("text"))), most)
     rows = tagged(parts.drop("text"))
-    rows = rows.select(F.xxhash64("section", "chunk_index", "content_hash").alias("chunk_id"), F.lit(version_id).alias("version_id"), F.lit(False).alias("is_active"), "*")
+    rows = kept(rows.select(F.xxhash64("section", "chunk_index", "content_hash").alias("chunk_id"), F.lit(version_id).alias("version_id"), F.lit(False).alias("is_active"), "*"))
     posted = fulltext.postings(rows.withColumn("tags", F.array_join(F.concat("visa_types", "topics", "forms"), " ")), {"A": "chunk_text", "B": "tags", "C": "citation", "D": F.concat_ws(" ", "structure.part", "structure.subsection")}, stem=True)
     return rows, posted
