@@ -82,3 +82,15 @@ def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text.replace(" ", "x").replace("\x1c", "x")) for r in docs.collect()]
     found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in found.collect()) == plain_kept(rows)
+
+
+def test_large_groups_lose_no_near_pair(spark, monkeypatch):
+    """Four bits in one table put all texts in one group, whose pivot is alike to one other at most."""
+    monkeypatch.setattr(alike, "size", lambda documents: (4, 1))
+    monkeypatch.setattr(alike, "MEMBERS", 7, raising=False)
+    rng, rows = random.Random(3), []
+    for k in range(0, 60, 2):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:-2], "others", "now"]))]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == set(range(0, 60, 2))

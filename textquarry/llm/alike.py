@@ -9,9 +9,10 @@ similarity 0.8 by the binomial formula (more of more similar ones): 32 bits in 2
 tables: the bits above a fingerprint are its table's word of a code whose words differ in more than MOST_BITS bits.
 
 A task of the index joins fingerprints that links chain together to the least of them, their hub: those of one hub are a group, and
-one may be in a group of each of its tasks. A group's pivots are the nodes of least and of greatest hash in it, by two hashes, others in each
-table. Each member is checked against its pivots on whole sets, so there are at most 4 candidate pairs for each group of a
-document, whatever the group's size, and groups of sets that aren't alike are taken apart again. Equal sets are one node.
+one may be in a group of each of its tasks. First each member of a group is checked against one pivot, the node of least hash in it, the same
+in as many tables as hold it. What this joins is known to be one. Then every pair of a group within MOST_BITS bits that is still apart is
+checked too (see unmet), so no pair that the index finds is left out, whatever the group's size; where the pivots have joined a group, no such pair
+remains. Checks are on whole sets: groups of sets that aren't alike are taken apart again. Equal sets are one node.
 
 Defined results: words are as in operator 8; fewer than five are one shingle; texts without words (also null) are
 copies of each other; of each group the row of the smallest doc_id stays (null is later than all, ties fall to a hash of the row);
@@ -43,6 +44,7 @@ RECALL = 0.97  # of pairs of similarity 0.8
 SPARE_BITS = 14  # beyond the logarithm of the number of documents: a code has some 500 / 2**14 neighbours by chance
 MOST_TABLES = 256
 WORD_BITS = 12
+MEMBERS = 10_000  # of a block of a group
 _DIFFER = math.acos(2 * LEAST[0] / sum(LEAST)) / math.pi
 #: The parity columns of a shortened Hamming code of distance 3.
 _PARITY = (3, 5, 6, 7, 9, 10, 11, 12)
@@ -107,9 +109,8 @@ def _codes(values: np.ndarray, counts: np.ndarray, bits: int, tables: int) -> np
     return out
 
 
-def _rows(documents: DataFrame) -> DataFrame:
+def _rows(documents: DataFrame, bits: int, tables: int) -> DataFrame:
     """(doc_id, k1, k2, node, codes): key, hash of the set and fingerprints of each row."""
-    bits, tables = size(documents.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,29 +151,69 @@ def _checked(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFra
     """Of candidate pairs(a, b), those whose whole sets are alike; sets are fetched for these pairs alone."""
 
     def check() -> DataFrame:
-        own = keep(pairs.distinct())
+        own = keep(pairs)
         nodes = own.select(F.col("a").alias("node")).unionByName(own.select(F.col("b").alias("node"))).distinct()
         return _alike(own, _members(documents, rows, nodes))
 
     return settle(documents.sparkSession, check)
 
 
-def indexed(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the Gray-order index: each node with the pivots of each of its groups. Groups needn't be joined to each other: links confirmed are."""
+def _first_ranks(bits: int, tables: int) -> np.ndarray:
+    """Where each table begins in the order of the index."""
+    words = simhash.gray_rank(np.array([_code_word(t) for t in range(tables)], U64))
+    return (words << U64(bits) >> U64(2)).view(np.int64)
+
+
+def indexed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
+    """Members (node, code, root) of the groups of the Gray-order index: nodes whose codes links chain to one hub, or are equal."""
     coded = keep(rows.groupBy("node").agg(F.first("codes").alias("codes")).select("node", F.explode("codes").alias("code")))
-    found = keep(simhash.links(coded.select("code").distinct(), MOST_BITS))
+    codes = keep(coded.groupBy("code").agg((F.count("*") > 1).alias("many")))
+    found = keep(simhash.links(codes.select("code"), MOST_BITS, cuts=_first_ranks(bits, tables)))
     hubs = found.unionByName(found.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("code"), F.col("b").alias("root"))
-    grouped = coded.join(hubs, "code", "left").select("node", F.coalesce("root", "code").alias("root"))
-    ranks = [F.struct(F.xxhash64(*order), F.col("node")) for order in (("node", "root"), ("root", "node"))]
-    ends = [f(r).alias(f"p{k}") for k, (f, r) in enumerate((f, r) for r in ranks for f in (F.min, F.max))]
-    pivots = grouped.groupBy("root").agg(*ends, F.count("*").alias("n")).where("n > 1").select("root", F.array_distinct(F.array(*(f"p{k}.node" for k in range(len(ends))))).alias("pivots"))
-    pairs = grouped.join(pivots, "root").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    # most codes are alone: a bitmap leaves them where they are
+    marks = Marks(hubs.select("code").unionByName(codes.where("many").select("code")).select(F.xxhash64("code").alias("key")), "key")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marks.has(batch.column(2)))).select(["node", "code"])
+
+    near = coded.select("node", "code", F.xxhash64("code").alias("key")).mapInArrow(some, "node bigint, code bigint")
+    return keep(near.join(hubs, "code", "left").select("node", "code", F.coalesce("root", "code").alias("root")))
 
 
-def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that the index finds and whole sets confirm."""
-    return _checked(indexed(rows), documents, rows)
+def pivoted(grouped: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): each member of a group with the group's pivot."""
+    least = F.min(F.struct(F.xxhash64("node"), F.col("node")))
+    pivots = grouped.groupBy("root").agg(least["node"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("root", "pivot")
+    pairs = grouped.join(pivots, "root").where("node <> pivot")
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def unmet(grouped: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of near codes of a group whose nodes are of different parts(node, root), so not known to be of one.
+
+    What a group's largest part doesn't hold meets all of the group, in blocks of MEMBERS by MEMBERS: pairs that aren't near are rows of no plan.
+    """
+    named = grouped.join(parts.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    each = named.groupBy("root", "part").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("root").agg(F.sum("n").alias("all"), F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most")).where("all > most and all > 2")
+    members = keep(named.join(mixed, "root").withColumn("other", F.col("all") - F.col("most")))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(MEMBERS))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    left = members.where("part <> main").select("root", F.pmod(F.xxhash64("node"), blocks("other")).alias("i"), every("all").alias("j"), F.col("node").alias("x"), F.col("code").alias("c"), F.col("part").alias("p"))
+    right = members.select("root", every("other").alias("i"), F.pmod(F.xxhash64("node"), blocks("all")).alias("j"), F.col("node").alias("y"), F.col("code").alias("d"), F.col("part").alias("q"))
+    near = (F.col("p") != F.col("q")) & (F.bit_count(F.col("c").bitwiseXOR(F.col("d"))) <= MOST_BITS)
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.root") == F.col("r.root")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & near)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(documents: DataFrame, rows: DataFrame, bits: int, tables: int) -> DataFrame:
+    """Links (a, b) between nodes that the index finds and whole sets confirm: enough to join all that such links join."""
+    grouped = indexed(rows, bits, tables)
+    tried = keep(pivoted(grouped))
+    found = _checked(tried, documents, rows)
+    rest = keep(unmet(grouped, components(found)).join(tried, ["a", "b"], "left_anti"))
+    return found.unionByName(_checked(rest, documents, rows)) if rest.limit(1).count() else found
 
 
 def _hashable(column: T.StructField) -> F.Column:
@@ -183,8 +224,9 @@ def _hashable(column: T.StructField) -> F.Column:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without all but one, that of the smallest doc_id, of each group."""
-    rows = keep(_rows(documents))
-    named = rows.drop("codes").join(components(links(documents, rows)), "node", "left").select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("root"))
+    bits, tables = size(documents.count())
+    rows = keep(_rows(documents, bits, tables))
+    named = rows.drop("codes").join(components(links(documents, rows, bits, tables)), "node", "left").select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("root"))
     keys = named.groupBy("k1", "k2").agg(F.first("root").alias("root"), F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
     first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")).alias("first"))
     # rows that stay as they are needn't be shuffled: only those of these keys are looked up

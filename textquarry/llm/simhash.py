@@ -173,14 +173,17 @@ def _pair_links(most: int):
     return links
 
 
-def links(codes: DataFrame, most: int = MOST_BITS, group: int = GROUP) -> DataFrame:
-    """Links (a, b) that join all distinct codes of codes(code) which chains of near ones connect."""
+def links(codes: DataFrame, most: int = MOST_BITS, group: int = GROUP, cuts: np.ndarray | None = None) -> DataFrame:
+    """Links (a, b) that join all distinct codes of codes(code) which chains of near ones connect.
+
+    Groups end at cuts too, ranks at which many shared bits change: a group across one would share few, and meet many others.
+    """
     spark = codes.sparkSession
     ranked = keep(codes.select("code", _rank_column("code").alias("rank")))
     n = ranked.count()
     groups = min(MOST_GROUPS, -(-n // group))
     bounds = ranked.approxQuantile("rank", [k / groups for k in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
-    placed = _placed(ranked, np.unique(np.array(bounds, np.int64)))
+    placed = _placed(ranked, np.unique(np.concatenate([np.array(bounds, np.int64), cuts if cuts is not None and groups > 1 else np.zeros(0, np.int64)])))
     upper = placed.groupBy("part").agg(F.expr("bit_and(code)").alias("both"), F.expr("bit_or(code)").alias("some")).orderBy("part").collect()
     part = np.array([r.part for r in upper], np.int64)
     both, some = (np.array([r[k] for r in upper], np.int64).view(U64) for k in ("both", "some"))
