@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import cells, embedding, lifecycle, vector
 from textquarry.queries import QUERIES
-from textquarry.sources import xml
+from textquarry.sources import html, xml
 from textquarry.sources.snapshots import Conflict
 from textquarry.streaming import arrivals
 
@@ -177,3 +177,13 @@ def test_two_writers_publish_from_one_state(spark):
     assert [lifecycle.current(spark, place)[n].count() for n in "ab"] == [2, 2]
     with pytest.raises(ValueError):
         lifecycle.publish({}, place)
+
+
+def test_pages_and_elements_are_searched_once(spark, tmp_path):
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(html.decisions(spark.createDataFrame([(1, "<hr>")], "page_id long, html string"))).count("<tr\\b") <= 2  # of a page, not of each of its parts
+    (tmp_path / "a.xml").write_text("<SECTION><NUM>§ 1.</NUM><PARA> a &amp; b </PARA><PARA>c</PARA></SECTION><DIV8 N='2' TYPE='SECTION'><HEAD> h </HEAD>a\tb</DIV8>")
+    code, regulations = xml.code_sections(spark, f"file://{tmp_path}"), xml.regulation_sections(spark, f"file://{tmp_path}", least=4)
+    assert plan(code).count("<x>") <= 5 and plan(regulations).count("<x>") <= 2  # nullif writes number and title out twice, texts are made once
+    assert [(r.number, r.title, r.text, r.broken) for r in code.collect()] == [("1", "Untitled", "a & b\n\nc", False)]
+    assert [(r.number, r.title, r.text, r.broken) for r in regulations.collect()] == [("2", "h", "h a b", False)]

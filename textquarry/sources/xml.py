@@ -23,8 +23,9 @@ def _bare(x: Column) -> Column:
 
 
 def _decoded(x: Column) -> Column:
-    """Text without tags, its entities decoded by the XML parser."""
-    return F.coalesce(F.from_xml(F.concat(F.lit("<x>"), x, F.lit("</x>")), "_VALUE string")["_VALUE"], F.lit(""))
+    """Text without tags, its entities decoded by the XML parser; that of an element which isn't broken, so what has no `&` is as it stands but for space about it."""
+    read = F.coalesce(F.from_xml(F.concat(F.lit("<x>"), x, F.lit("</x>")), "_VALUE string")["_VALUE"], F.lit(""))
+    return F.when(x.contains("&"), read).otherwise(F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\n\r")))
 
 
 def _squeezed(x: Column) -> Column:
@@ -39,7 +40,16 @@ def _inner(x: Column, name: str) -> Column:
 
 def _read(found: DataFrame) -> DataFrame:
     seen = F.from_xml("element", "_N string, _TYPE string, _corrupt_record string", {"ignoreNamespace": "true"})
-    return found.withColumn("seen", seen).withColumn("broken", F.col("seen._corrupt_record").isNotNull())
+    # exploded, so that what is asked of it parses no element again
+    return found.select("*", F.explode(F.array(seen)).alias("seen")).withColumn("broken", F.col("seen._corrupt_record").isNotNull())
+
+
+def _long_enough(rows: DataFrame, least: int) -> DataFrame:
+    """rows(..., text, broken) with texts of at least so many characters; their columns are made before they are asked for, once."""
+    if least <= 0:
+        return rows
+    whole = rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("x")).select("x.*")
+    return whole.where(F.col("broken") | (F.length("text") >= least))
 
 
 def regulation_sections(spark: SparkSession, path: str, tag: str = "DIV8", least: int = 50) -> DataFrame:
@@ -53,7 +63,7 @@ def regulation_sections(spark: SparkSession, path: str, tag: str = "DIV8", least
     element = F.col("element")
     good = lambda c: F.when(~F.col("broken"), c)
     rows = rows.select("file_path", good(F.trim(F.regexp_replace(F.col("seen._N"), "^\\s*§", ""))).alias("number"), good(_squeezed(_decoded(_bare(_inner(element, "HEAD"))))).alias("title"), F.coalesce(good(_squeezed(_decoded(_bare(element)))), element).alias("text"), "broken")
-    return rows.where(F.col("broken") | (F.length("text") >= least))
+    return _long_enough(rows, least)
 
 
 def code_sections(spark: SparkSession, path: str, tag: str = "SECTION", least: int = 0) -> DataFrame:
@@ -69,12 +79,14 @@ def code_sections(spark: SparkSession, path: str, tag: str = "SECTION", least: i
     number = F.regexp_replace(_squeezed(_decoded(_bare(_inner(element, "NUM")))), r"^[§\s]+|[.\s]+$", "")
     title = F.coalesce(F.nullif(_squeezed(_decoded(_bare(_inner(element, "HEADING")))), F.lit("")), F.lit("Untitled"))
     rows = rows.select("file_path", good(F.nullif(number, F.lit(""))).alias("number"), good(title).alias("title"), F.coalesce(good(text), element).alias("text"), "broken")
-    return rows.where(F.col("broken") | (F.length("text") >= least))
+    return _long_enough(rows, least)
 
 
 def escaped(text: Column | str) -> Column:
     """Text as it may stand in XML: signs as entities, characters that XML doesn't allow left out."""
-    out = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "")
+    out = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    for sign in ("\ufffe", "\uffff"):  # apart from the pattern: a class of low characters alone is searched far faster
+        out = F.replace(out, F.lit(sign), F.lit(""))
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(sign), F.lit(name))
     return out
