@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 
 from textquarry.llm import alike
 
@@ -94,3 +96,47 @@ def test_large_groups_lose_no_near_pair(spark, monkeypatch):
         rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:-2], "others", "now"]))]
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert kept == set(range(0, 60, 2))
+
+
+def packed(codes, bits):
+    return alike._packed(np.array(codes, alike.U64), bits).tobytes()
+
+
+def test_codes_go_to_three_tasks_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(alike.simhash, "GROUP", 16)
+    rng, copies = random.Random(2), []
+    for n in (200, 1600):
+        coded = spark.createDataFrame([(k, packed([rng.getrandbits(28) for _ in range(2)], 28)) for k in range(n)], "node long, codes binary")
+        sent = coded.mapInArrow(alike._deal(28, 2, alike._upper_bits(n, 28)), "group bigint, sent binary").collect()
+        copies.append(sum(len(r.sent) // 12 for r in sent) / n)
+    assert copies == [2 * alike.BANDS] * 2  # of two tables
+
+
+def test_codes_two_bits_apart_meet_wherever_these_are():
+    bits, upper = 28, 7
+    for a in range(bits):
+        codes = [0, 1 << a, 1 << a | 1 << (a + 1 + a * 5 % (bits - 1)) % bits]
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([packed([c], bits) for c in codes])], names=["node", "codes"])
+        sent = pa.Table.from_batches(list(alike._deal(bits, 1, upper)(iter([batch]))))
+        together = set()
+        for group in set(sent.column("group").to_pylist()):
+            found = alike._find(bits, upper)(sent.filter(pa.array([g == group for g in sent.column("group").to_pylist()])))
+            rows = list(zip(found.column("node").to_pylist(), found.column("root").to_pylist(), strict=True))
+            together |= {(x, y) for x, r in rows for y, q in rows if x < y and r == q}
+        assert together == {(0, 1), (0, 2), (1, 2)}, a
+
+
+def test_rows_of_a_near_group_that_is_apart_follow_its_members(spark):
+    n = 600
+    grouped = spark.createDataFrame([(k, 0, 0) for k in range(n)], "node long, code long, root long")
+    assert n <= alike.unmet(grouped, spark.createDataFrame([], "node long, root long")).count() <= 2 * n
+
+
+def test_pairs_near_by_chance_alone_cost_no_sets(spark):
+    """In one table of ten the codes are equal, in all others as far apart as those of any two texts."""
+    rng = random.Random(4)
+    one = [rng.getrandbits(28) for _ in range(10)]
+    other, close = [one[0], *(rng.getrandbits(28) for _ in range(9))], [one[0], *(c ^ 5 for c in one[1:])]
+    coded = spark.createDataFrame([(k, packed(c, 28)) for k, c in enumerate((one, other, close))], "node long, codes binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert [tuple(r) for r in alike.likely(pairs, coded, 280).collect()] == [(0, 2)]

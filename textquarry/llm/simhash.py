@@ -123,8 +123,8 @@ class _Index:
             if len(both) <= FAN:
                 break
 
-    def search(self, other: _Index, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places in self.codes and other.codes of all codes that differ in `most` bits at most."""
+    def search(self, other: _Index, most: int, same: np.uint64 | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in self.codes and other.codes of all codes that differ in `most` bits at most, and in none of the bits `same`."""
         mask, pattern = self.levels[0]
         step = max(1, (1 << 19) // max(1, len(other.levels[-1][0]) * 16))
         for begin in range(0, len(mask), step):
@@ -136,8 +136,11 @@ class _Index:
             for level in range(len(other.levels) - 1, -1, -1):
                 m, p = other.levels[level]
                 common = mask[left] & m[node]
-                gone = gone + np.bitwise_count((pattern[left] ^ p[node]) & common & ~seen)
+                apart = (pattern[left] ^ p[node]) & common
+                gone = gone + np.bitwise_count(apart & ~seen)
                 ok = gone <= most
+                if same is not None:
+                    ok &= apart & same == 0
                 left, node, seen, gone = left[ok], node[ok], common[ok], gone[ok]
                 if level:
                     below = len(other.levels[level - 1][0])
@@ -151,7 +154,10 @@ class _Index:
                 i, j = (x.reshape(-1) for x in np.broadcast_arrays(i, j))
                 ok = (i < len(self.codes)) & (j < len(other.codes))
                 i, j = i[ok], j[ok]
-                ok = np.bitwise_count(self.codes[i] ^ other.codes[j]) <= most
+                apart = self.codes[i] ^ other.codes[j]
+                ok = np.bitwise_count(apart) <= most
+                if same is not None:
+                    ok &= apart & same == 0
                 yield i[ok], j[ok]
 
 
@@ -173,17 +179,14 @@ def _pair_links(most: int):
     return links
 
 
-def links(codes: DataFrame, most: int = MOST_BITS, group: int = GROUP, cuts: np.ndarray | None = None) -> DataFrame:
-    """Links (a, b) that join all distinct codes of codes(code) which chains of near ones connect.
-
-    Groups end at cuts too, ranks at which many shared bits change: a group across one would share few, and meet many others.
-    """
+def links(codes: DataFrame, most: int = MOST_BITS, group: int = GROUP) -> DataFrame:
+    """Links (a, b) that join all distinct codes of codes(code) which chains of near ones connect."""
     spark = codes.sparkSession
     ranked = keep(codes.select("code", _rank_column("code").alias("rank")))
     n = ranked.count()
     groups = min(MOST_GROUPS, -(-n // group))
     bounds = ranked.approxQuantile("rank", [k / groups for k in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
-    placed = _placed(ranked, np.unique(np.concatenate([np.array(bounds, np.int64), cuts if cuts is not None and groups > 1 else np.zeros(0, np.int64)])))
+    placed = _placed(ranked, np.unique(np.array(bounds, np.int64)))
     upper = placed.groupBy("part").agg(F.expr("bit_and(code)").alias("both"), F.expr("bit_or(code)").alias("some")).orderBy("part").collect()
     part = np.array([r.part for r in upper], np.int64)
     both, some = (np.array([r[k] for r in upper], np.int64).view(U64) for k in ("both", "some"))
