@@ -48,7 +48,7 @@ MOST_TABLES = 256
 WORD_BITS = 12
 BANDS = MOST_BITS + 1
 DEALT = 1 << 14  # nodes dealt out at a time
-MEMBERS = 1_000  # of a block of a group
+MEMBERS = 2_500  # of a block of a group
 MEMBER_BYTES = 4096  # of a member's set, about
 MET_BYTES = 16 << 20  # of the sets that a task gets, about
 PAIRS = 1 << 20  # codes compared at a time
