@@ -297,9 +297,9 @@ def pivoted(grouped: DataFrame) -> DataFrame:
 
 
 def unmet(grouped: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members (root, i, j, right, node, code, part) in blocks that bring together all nodes of a group that are of different parts(node, root), so not known to be of one.
+    """Members (root, i, j, node, code, part, left, right) in blocks that bring together all nodes of a group that are of different parts(node, root), so not known to be of one.
 
-    What a group's largest part doesn't hold, those that aren't right, meets all of the group, in blocks of MEMBERS by MEMBERS.
+    What a group's largest part doesn't hold, the left ones, meets all of the group, the right ones, in blocks of MEMBERS by MEMBERS; a member that is both in one block is one row.
     """
     named = grouped.join(parts.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     each = named.groupBy("root", "part").agg(F.count("*").alias("n"))
@@ -308,17 +308,19 @@ def unmet(grouped: DataFrame, parts: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(F.col(n) / F.lit(MEMBERS))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
-    left = members.where("part <> main").select("root", own("other").alias("i"), every("all").alias("j"), F.lit(False).alias("right"), "node", "code", "part")
-    return keep(left.unionByName(members.select("root", every("other").alias("i"), own("all").alias("j"), F.lit(True).alias("right"), "node", "code", "part")))
+    at = ["root", "i", "j", "node", "code", "part"]
+    left = members.where("part <> main").withColumn("i", own("other")).withColumn("j", every("all")).select(*at, F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = members.withColumn("i", every("other")).withColumn("j", own("all")).select(*at, F.lit(False).alias("left"), F.lit(True).alias("right"))
+    return keep(left.unionByName(right).groupBy(*at).agg(F.max("left").alias("left"), F.max("right").alias("right")))
 
 
 def _near(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each row that isn't right, where the right rows of its block stand that have a near code and are of another part."""
-    root, i, j, code, part, right = (table.column(k).to_numpy() for k in ("root", "i", "j", "code", "part", "right"))
-    order = np.lexsort((right, j, i, root))
+    """Of each left row, where the right rows of its block stand that have a near code and are of another part."""
+    root, i, j, code, part, left, right = (table.column(k).to_numpy() for k in ("root", "i", "j", "code", "part", "left", "right"))
+    order = np.lexsort((j, i, root))
     new = np.flatnonzero(np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (root, i, j)], axis=0)]))
     for block in np.split(order, new[1:]):
-        one, two = block[~right[block]], block[right[block]]
+        one, two = block[left[block]], block[right[block]]
         for x in one if len(two) else one[:0]:
             y = two[(np.bitwise_count(code[x] ^ code[two]) <= MOST_BITS) & (part[two] != part[x])]
             for at in range(0, len(y), MEMBERS):
