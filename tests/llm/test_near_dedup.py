@@ -140,3 +140,9 @@ def test_pairs_near_by_chance_alone_cost_no_sets(spark):
     coded = spark.createDataFrame([(k, packed(c, 28)) for k, c in enumerate((one, other, close))], "node long, codes binary")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
     assert [tuple(r) for r in alike.likely(pairs, coded, 280).collect()] == [(0, 2)]
+
+
+def test_small_alike_sets_are_likely_at_any_number_of_bits():
+    """Four of five shingles: 0.19 of the bits differ."""
+    for bits in (504, 928, 2470, 9744):
+        assert 0.1875 * bits + 9 * (bits * 0.1875 * 0.8125) ** 0.5 < alike._most_apart(bits) < 0.5 * bits - 5 * (bits * 0.25) ** 0.5
