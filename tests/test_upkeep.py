@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.operators import cells, embedding, lifecycle, vector
-from textquarry.queries import QUERIES
+from textquarry.queries import ORACLE_SQL, QUERIES
 from textquarry.sources import html, xml
 from textquarry.sources.snapshots import Conflict
 from textquarry.streaming import arrivals
@@ -92,6 +92,20 @@ def test_code_sections_with_prefixes(spark):
     assert found[0] == ("101", "Terms & more", "One.\n\nTwo three.", False) and found[1] == (None, "Untitled", "No number", False) and found[2][3]
 
 
+def test_code_sections_of_odd_documents_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [None, "", "  ", "\n", "\u00a0", "\x0c", "\u3000a\u3000", "a \u2003", "\ufffe", "a\uffff b & \ue000", "\u3000&", "& ]]>", "<!-- a", "&#32;", "a" * 8000 + "&\n😀"]
+    rows = [(i, t, s) for s in (None, "", "web", " a  b & <c>\n", "Untitled", "none", "\uffff") for i, t in enumerate(texts, len(texts) * len(s or "-------"))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(f"SELECT number, title, text FROM ({ORACLE_SQL['xml_code_sections']})").fetchall()
+    key = lambda r: tuple(x or f"{x!r}" for x in r)
+    assert sorted(map(tuple, QUERIES["xml_code_sections"](spark, str(tmp_path)).collect()), key=key) == sorted(expected, key=key)
+
+
+
 # ---- vectors ------------------------------------------------------------------------------------------------
 
 

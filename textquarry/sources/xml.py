@@ -23,15 +23,20 @@ def _bare(x: Column) -> Column:
 
 
 def _decoded(x: Column) -> Column:
-    """Text without tags, its entities decoded by the XML parser; that of an element which isn't broken, so what has no `&` is as it stands but for space about it."""
-    read = F.coalesce(F.from_xml(F.concat(F.lit("<x>"), x, F.lit("</x>")), "_VALUE string")["_VALUE"], F.lit(""))
-    return F.when(x.contains("&"), read).otherwise(F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\n\r")))
+    """Text without tags, its entities decoded by the XML parser; that of an element which isn't broken, so what has no `&` is as it stands. Null is empty."""
+    read = F.from_xml(F.concat(F.lit("<x>|"), x, F.lit("|</x>")), "_VALUE string")["_VALUE"]  # the parser takes off space about a text
+    return F.coalesce(F.when(x.contains("&"), F.regexp_replace(read, r"\A\||\|\z", "")).otherwise(x), F.lit(""))
 
 
 def _squeezed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\s ]+", " "))
 
 
+def _stripped(x: Column) -> Column:
+    """x without signs of space of any kind at its ends; x is asked for more than once, so it should be a column or a variable."""
+    return F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"\p{Zs}"), F.regexp_replace(x, r"\A\p{Zs}+|\p{Zs}(?<!\p{Zs}{2})\p{Zs}*+\z", "")).otherwise(x)
+
+
 def _inner(x: Column, name: str) -> Column:
     """What the first element of a name holds, whatever its prefix; null without one."""
     pattern = rf"(?s)<(?:[\w.-]+:)?{name}(?=[\s>])[^>]*>(.*?)</(?:[\w.-]+:)?{name}>"
@@ -69,13 +74,14 @@ def regulation_sections(spark: SparkSession, path: str, tag: str = "DIV8", least
 def code_sections(spark: SparkSession, path: str, tag: str = "SECTION", least: int = 0) -> DataFrame:
     """(file_path, number, title, text, broken) of each section of the code: NUM without its sign, HEADING, all PARA joined by blank lines (S3).
 
-    Names may have prefixes; `tag` is given with its own. Without a NUM the number is null, without a HEADING the title is Untitled.
+    Names may have prefixes; `tag` is given with its own. Without a NUM the number is null, without a HEADING the title is Untitled. A PARA of nothing counts for nothing, one of white space
+    for an empty paragraph, as in the source.
     """
     rows = _read(elements(spark, path, tag))
     element = F.col("element")
     good = lambda c: F.when(~F.col("broken"), c)
     paragraphs = F.regexp_extract_all(element, F.lit(r"(?s)<(?:[\w.-]+:)?PARA(?=[\s>])[^>]*>(.*?)</(?:[\w.-]+:)?PARA>"), F.lit(1))
-    text = _decoded(F.array_join(F.filter(F.transform(paragraphs, lambda p: _squeezed(_bare(p))), lambda p: p != ""), "\n\n"))
+    text = _decoded(F.array_join(F.transform(F.transform(F.filter(F.transform(paragraphs, _bare), lambda p: p != ""), _squeezed), _stripped), "\n\n"))
     number = F.regexp_replace(_squeezed(_decoded(_bare(_inner(element, "NUM")))), r"^[§\s]+|[.\s]+$", "")
     title = F.coalesce(F.nullif(_squeezed(_decoded(_bare(_inner(element, "HEADING")))), F.lit("")), F.lit("Untitled"))
     rows = rows.select("file_path", good(F.nullif(number, F.lit(""))).alias("number"), good(title).alias("title"), F.coalesce(good(text), element).alias("text"), "broken")
